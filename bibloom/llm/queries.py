@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.llm import bpe, decontaminate, langid, sharding, simhash
+from bibloom.llm import bpe, decontaminate, langid, lines, sharding, simhash
 from bibloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40, seed=0)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
