@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from itertools import chain
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from bibloom.llm.common import map_batches
 
-#: Words of one generation of a worker's memory.
-CACHE_WORDS = 120_000
+#: Words of one generation of a worker's memory; some 100 MB for both.
+CACHE_WORDS = 150_000
 #: The split of byte-level BPE, as its files leave it to the library.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEADING_SPACE = regex.compile(r"\p{White_Space}*")
@@ -106,12 +107,15 @@ class Vocabulary:
         split = next((p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), BYTE_LEVEL_SPLIT)
         space = r"\p{White_Space}"
         self.split = regex.compile(split.replace(r"[^\s", f"[^{space}").replace(r"\s", space).replace(r"\S", r"\P{White_Space}"))
+        #: the same split for ASCII texts, in the faster engine
+        plain = split.replace(r"[^\s\p{L}\p{N}]", "[^\\sA-Za-z0-9]").replace(r"[\p{L}]", "[A-Za-z]").replace(r"[\p{N}]", "[0-9]")
+        self.plain_split = re.compile(plain.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         symbols = byte_symbols()
         self.first = [self.ids[s] for s in symbols]
         self.last = [self.ids.get(s + self.suffix, self.ids[s]) for s in symbols]
         self.words = Remembered(self._encode_word)
-        self.pieces = Remembered(self._prefix_counts)
+        self.pieces = Remembered(self._prefix_counts, 2 * CACHE_WORDS)
         if not self.suffix:
             self._prepare_counts(symbols, parts)
 
@@ -120,6 +124,8 @@ class Vocabulary:
         codes = {ord(s): b for b, s in enumerate(symbols)}
         self.tokens = {bytes(codes[ord(c)] for c in s): i for s, i in self.ids.items() if all(ord(c) in codes for c in s)}
         self.longest = max(map(len, self.tokens))
+        #: what a token begins with: its id if it is one itself, else -1
+        self.starts = {t[:k]: -1 for t in self.tokens for k in range(1, len(t))} | self.tokens
         self.joins = Remembered(self._stay_apart, 400_000)
         self.whole = {i: merge([self.first[b] for b in t], self.pairs, self.merged) == [i] for t, i in self.tokens.items()}
         made = {new: (rank, self.ids[a], self.ids[b]) for rank, ((a, b), new) in reversed([*enumerate(zip(parts, self.merged, strict=True))])}
@@ -162,6 +168,10 @@ class Vocabulary:
             at = m.end()
         return [*out, (text[at:], None)]
 
+    def cut(self, segment: str) -> list[str]:
+        """The pieces of a segment without special strings, normalised already."""
+        return (self.plain_split if segment.isascii() else self.split).findall(segment)
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for segment, special in self.segments(text or ""):
@@ -169,7 +179,7 @@ class Vocabulary:
                 out.append(special)
             elif segment:
                 words = self.words
-                out.extend(chain.from_iterable([words[w] for w in self.split.findall(self.normalize(segment))]))
+                out.extend(chain.from_iterable([words[w] for w in self.cut(self.normalize(segment))]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -206,14 +216,16 @@ class Vocabulary:
         gives all the counts.
         """
         raw = piece.encode()
-        n, token_at, joins, whole, longest = len(raw), self.tokens.get, self.joins, self.whole, self.longest
+        n, token_at, joins = len(raw), self.starts.get, self.joins
         count, last = [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
+        for start in range(n):
+            before, more, far = last[start] << 20, count[start] + 1, min(n, start + self.longest)
+            for end in range(start + 1, far + 1):
                 token = token_at(raw[start:end])
-                if token is not None and (joins[last[start] << 20 | token] if start else whole[token]):
-                    count[end], last[end] = count[start] + 1, token
+                if token is None:  # no token begins with these bytes
                     break
+                if token >= 0 and not count[end] and (joins[before | token] if start else self.whole[token]):
+                    count[end], last[end] = more, token
         if len(piece) == n:
             return tuple(count)
         ends, at = [0], 0
@@ -230,7 +242,7 @@ class Vocabulary:
                 pieces.append(segment)
                 totals.append(1)
             else:
-                found = self.split.findall(segment)
+                found = self.cut(segment)
                 counts = self.pieces
                 pieces += found
                 totals += [counts[p][-1] for p in found]
@@ -254,7 +266,7 @@ class Vocabulary:
                 context, context_done = "", done
                 continue
             run, run_done = "", 0  # white space up to here
-            for piece in self.split.findall(segment):
+            for piece in self.cut(segment):
                 counts, base = self.pieces[piece], done
                 done += counts[-1]
                 spaces = LEADING_SPACE.match(piece).end()
@@ -276,7 +288,7 @@ class Vocabulary:
         return out
 
     def _plain_count(self, text: str) -> int:
-        return sum(self.pieces[p][-1] for p in self.split.findall(text))
+        return sum(self.pieces[p][-1] for p in self.cut(text))
 
     def fitting(self, text: str, pieces: list[str], totals: list[int], limit: int) -> int:
         """Code points of the longest prefix of at most ``limit`` tokens."""
