@@ -17,6 +17,9 @@ from pyspark.sql.window import Window
 #: Rows of a record batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
+#: Files of an intermediate table for each core of the cluster.
+FILES_PER_CORE = 4
+
 _ROW_BITS = 33  # monotonically_increasing_id: partition index above, row of the partition below
 
 
@@ -33,9 +36,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The table cuts the lineage, survives the loss of executors and fixes the rows of anything
-    that is not deterministic.
+    that is not deterministic. It gets a few files for each core, however many partitions made
+    it: each of its tasks works through its partitions one after another.
     """
     spark = df.sparkSession
+    df = df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,8 +58,9 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_positions(df: DataFrame, groups: list[str], order: list[Column], position: str) -> DataFrame:
-    """Add the 0-based position of each row within its group, in the given order.
+def with_positions(df: DataFrame, groups: list[str], order: list[Column], position: str, size: str) -> DataFrame:
+    """Add the 0-based position of each row within its group, in the given order, and the
+    number of rows of the group.
 
     Rows are range partitioned by group and order, so a hot group spreads over many tasks; a
     position is the row's place in its partition plus the rows of the group in the partitions
@@ -70,9 +76,13 @@ def with_positions(df: DataFrame, groups: list[str], order: list[Column], positi
     )
     placed = placed.withColumn("_part", F.shiftright("_row", _ROW_BITS))
     counts = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *groups, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+        *groups,
+        "_part",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(group).alias(size),
     )
     joined = placed.join(offsets, [*groups, "_part"])
     return joined.withColumn(position, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")

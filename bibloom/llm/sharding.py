@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import materialize, with_positions
+from bibloom.llm.common import with_positions
 
 #: Bytes that count for a document besides its text.
 DOCUMENT_OVERHEAD = 16
@@ -38,15 +38,13 @@ def interleave(df: DataFrame, shards: int = 40, seed: int = 0, id_col: str = "do
         }
     )
     order = [F.col("_shuffled").asc(), F.col("_id").asc_nulls_first(), F.col("text_crc32").asc()]
-    ranked = materialize(with_positions(rows, ["_stratum"], order, "_rank"), "ranked")
-    sizes = ranked.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"))
-    total = ranked.count()
-    placed = ranked.join(sizes, "_stratum").withColumn("_at", (F.col("_rank") + 0.5) / F.col("_n"))
+    ranked = with_positions(rows, ["_stratum"], order, "_rank", "_n")
+    placed = ranked.withColumn("_at", (F.col("_rank") + 0.5) / F.col("_n")).drop("_n")
     order = [F.col("_at").asc(), F.col("_stratum").asc(), F.col("_rank").asc()]
-    placed = with_positions(placed, [], order, "_position")
+    placed = with_positions(placed, [], order, "_position", "_total")
     # in whole numbers: shard s has the positions from ceil(s * total / shards) on
-    placed = placed.withColumn("shard", F.expr(f"cast(_position * {shards} div {max(1, total)} as int)"))
-    position, first = F.col("_position"), F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
+    placed = placed.withColumn("shard", F.expr(f"cast(_position * {shards} div _total as int)"))
+    position, first = F.col("_position"), F.expr(f"(cast(shard as bigint) * _total + {shards - 1}) div {shards}")
     return placed.select(
         F.col("_id").alias(id_col),
         "size",
