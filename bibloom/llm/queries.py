@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.llm import bpe, decontaminate, langid, lines, paragraphs, sharding, simhash
+from bibloom.llm import bpe, decontaminate, editprints, langid, lines, paragraphs, sharding, simhash
 from bibloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40, seed=0)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprints.against_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op4_fingerprints": op4_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_language_id": op8_language_id,
