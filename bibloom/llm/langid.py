@@ -174,6 +174,26 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], text: str = "text", i
     return map_batches(df.select(id_col, text), start, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def predict_rows(df: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, with lang_pred and score; columns of these names give
+    way. Texts pass through the workers with their rows, so nothing is joined or shuffled."""
+    df = df.drop("lang_pred", "score")
+    shared = df.sparkSession.sparkContext.broadcast(json.dumps(profiles))
+    place = df.columns.index(text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def start():
+        p = Profiles(json.loads(shared.value))
+
+        def rows(*columns):
+            found = [p.predict(t) for t in columns[place]]
+            return [*columns, [f[0] for f in found], [f[1] for f in found]]
+
+        return rows
+
+    return map_batches(df, start, f"{fields}, lang_pred string, score double")
+
+
 def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Learn from the rows that are not held out, predict every row: id_col, held_out,
     lang_pred, score."""

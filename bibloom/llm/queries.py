@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibloom.llm import bpe, decontaminate, editprints, langid, lines, paragraphs, sharding, simhash
+from bibloom.llm import bpe, decontaminate, editprints, langid, lines, paragraphs, quotes, sharding, simhash
 from bibloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprints.against_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_language_id": op8_language_id,
