@@ -1 +1 @@
-
+"""Structured Streaming over the audit log of events."""
