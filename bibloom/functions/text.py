@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Converter = Callable[[Column], Column]
 
@@ -205,17 +206,17 @@ def lookup(table: dict[str, str]) -> Converter:
 # ---- what Spark has no expression for: Arrow-batched, pre-filtered by its callers
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(v: pd.Series) -> pd.Series:
     return v.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_marks(v: pd.Series) -> pd.Series:
     return v.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(v: pd.Series) -> pd.Series:
     """Nearest ASCII: compatibility forms, without marks and what has no ASCII form."""
     return v.map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode(), na_action="ignore")
@@ -230,7 +231,7 @@ class _Text(HTMLParser):
         self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _html_text(v: pd.Series) -> pd.Series:
     def text(s: str) -> str:
         parser = _Text()

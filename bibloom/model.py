@@ -55,9 +55,10 @@ def is_control(field: Column) -> Column:
 def to_long(bibs: DataFrame) -> DataFrame:
     """One row for each subfield (or control field): file_id, record_index, field_pos, tag, ind1,
     ind2, is_control, sub_pos, code (null for control fields), value."""
-    one = bibs.select("file_id", "record_index", F.posexplode("fields").alias("field_pos", "f"))
+    # outer: an inner explode makes Catalyst filter on the array first, which computes it twice
+    one = bibs.select("file_id", "record_index", F.posexplode_outer("fields").alias("field_pos", "f")).where(F.col("f").isNotNull())
     sub = F.when(is_control(F.col("f")), F.array(subfield(F.lit(None), F.col("f.data")))).otherwise(F.col("f.subfields"))
-    one = one.select("*", F.posexplode(sub).alias("sub_pos", "s"))
+    one = one.select("*", F.posexplode_outer(sub).alias("sub_pos", "s")).where(F.col("s").isNotNull())
     return one.select(
         "file_id",
         "record_index",
@@ -76,3 +77,9 @@ def rendered(field: Column) -> Column:
     """A field as text: control data, or indicators and subfields with their codes."""
     subs = F.array_join(F.transform(field["subfields"], lambda s: F.concat(F.lit("$"), s["code"], s["value"])), "")
     return F.when(is_control(field), field["data"]).otherwise(F.concat(field["ind1"], field["ind2"], subs))
+
+
+def each_field(bibs: DataFrame, tag: str, *keep: str) -> DataFrame:
+    """One row for each field of a tag, in column f."""
+    own = F.filter("fields", lambda f: f["tag"] == tag)
+    return bibs.select(*keep, F.explode_outer(own).alias("f")).where(F.col("f").isNotNull())

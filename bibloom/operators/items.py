@@ -41,7 +41,7 @@ def attach_items(bibs: DataFrame, items: DataFrame, key: str, order: Sequence[st
     built = items.select(strip(F.col(key).cast("string")).alias("_key"), F.struct(*order).alias("_order"), item_field([c for c in items.columns if c != key], mapping, constants).alias("_item"))
     built = built.where((F.col("_key") != "") & F.col("_item").isNotNull())
     probed = bibs.where(extract.has_tag("001")) if need_001 else bibs
-    keys = probed.select("file_id", "record_index", F.posexplode(F.transform(extract.values(match_spec), strip)).alias("_nth", "_key"))
+    keys = probed.select("file_id", "record_index", F.posexplode_outer(F.transform(extract.values(match_spec), strip)).alias("_nth", "_key"))
     found = keys.join(built, "_key").groupBy("file_id", "record_index").agg(F.sort_array(F.collect_list(F.struct("_nth", "_order", "_item"))).alias("_found"))
     joined = bibs.join(found, ["file_id", "record_index"], "left")
     more = F.coalesce(F.col("_found._item"), F.array().cast(FIELDS))

@@ -18,7 +18,7 @@ VOCABULARY = {"itype": "y", "loc": "c", "ccode": "8", "not_loan": "7", "withdraw
 
 def tag_frequency(bibs: DataFrame) -> DataFrame:
     """(tag, n): how many fields there are of each tag."""
-    return bibs.select(F.explode("fields.tag").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return bibs.select(F.explode_outer("fields.tag").alias("tag")).where(F.col("tag").isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def subfield_frequency(bibs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def clusters(bibs: DataFrame, spec: str) -> DataFrame:
     percent is of the records, so repeated values can bring it over 100."""
     total = bibs.agg(F.count(F.lit(1))).scalar()
     found = F.coalesce(F.filter(F.transform(extract.values(spec), strip), lambda v: v != ""), F.array())
-    each = bibs.select(F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("(empty)")))).alias("value"))
+    each = bibs.select(F.explode_outer(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("(empty)")))).alias("value"))
     counts = each.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("value", "n", F.round(100 * F.col("n") / total, 1).alias("percent"))
 
@@ -89,8 +89,8 @@ def column_scan(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def duplicates(bibs: DataFrame, spec: str = "001") -> DataFrame:
     """(value, n) of values that several records have."""
-    values = bibs.select("record_index", F.explode(F.array_distinct(F.transform(extract.values(spec), strip))).alias("value"))
-    return values.groupBy("value").agg(F.count_distinct("record_index").alias("n")).where(F.col("n") > 1)
+    values = bibs.select("record_index", F.explode_outer(F.array_distinct(F.transform(extract.values(spec), strip))).alias("value"))
+    return values.where(F.col("value").isNotNull()).groupBy("value").agg(F.count_distinct("record_index").alias("n")).where(F.col("n") > 1)
 
 
 def detect_system(bibs: DataFrame, sample: int = 200) -> DataFrame:

@@ -114,7 +114,7 @@ def scan(bibs: DataFrame, checks: list[str] | None = None, plugins: dict[str, Ca
     """All issues: file_id, record_index and the columns of ``ISSUE``. One pass for all checks of
     single records; duplicates come from aggregations."""
     makers = [CHECKS[c]() for c in (checks or CHECKS)] + [make() for make in (plugins or {}).values()]
-    found = bibs.select("file_id", "record_index", F.explode(F.concat(*makers)).alias("issue")).select("file_id", "record_index", "issue.*")
+    found = bibs.select("file_id", "record_index", F.explode_outer(F.concat(*makers)).alias("issue")).where(F.col("issue").isNotNull()).select("file_id", "record_index", "issue.*")
     loose = (F.col("category") == "diacritics") & (F.col("severity") == "info")
     composed = found.where(loose).withColumn("suggested_fix", nfc("original_value"))
     composed = composed.where(F.length("suggested_fix") < F.length("original_value"))
@@ -124,9 +124,9 @@ def scan(bibs: DataFrame, checks: list[str] | None = None, plugins: dict[str, Ca
 def repeated_numbers(bibs: DataFrame) -> DataFrame:
     """Issues of records that share a trimmed 001, or an ISBN (first token of the first 020$a of
     a field); a record that repeats its own doesn't count."""
-    control = bibs.select("file_id", "record_index", F.explode(F.array_distinct(F.transform(extract.values("001"), strip))).alias("value"), F.lit("duplicate_001").alias("category"), F.lit("warning").alias("severity"), F.lit("001").alias("tag"))
+    control = bibs.select("file_id", "record_index", F.explode_outer(F.array_distinct(F.transform(extract.values("001"), strip))).alias("value"), F.lit("duplicate_001").alias("category"), F.lit("warning").alias("severity"), F.lit("001").alias("tag"))
     isbn = F.transform(extract.values("020$a"), lambda v: F.get(F.split(strip(v), " "), 0))
-    numbers = bibs.select("file_id", "record_index", F.explode(F.array_distinct(F.transform(isbn, clean_isbn))).alias("value"), F.lit("duplicate_isbn").alias("category"), F.lit("info").alias("severity"), F.lit("020").alias("tag"))
+    numbers = bibs.select("file_id", "record_index", F.explode_outer(F.array_distinct(F.transform(isbn, clean_isbn))).alias("value"), F.lit("duplicate_isbn").alias("category"), F.lit("info").alias("severity"), F.lit("020").alias("tag"))
     both = control.unionByName(numbers).where(F.col("value") != "")
     many = both.groupBy("category", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     return both.join(many, ["category", "value"]).select("file_id", "record_index", "category", "severity", "tag", F.col("value").alias("original_value"))

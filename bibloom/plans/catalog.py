@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.functions import extract, text
-from bibloom.model import to_long
+from bibloom.model import each_field, to_long
 from bibloom.operators import dedup, edits, items, profile, quality, query, reconcile, search, tables
 from bibloom.operators.fieldmaps import FieldMap, apply_maps, map_statistics
 from bibloom.plans import adapters
@@ -200,7 +200,7 @@ _ITEM_ROWS = f"with i as ({ITEM_SQL}), b as ({BIB_SQL}), m as (select b.k, i.* f
 
 @register("items_join", _ITEM_ROWS + "select k as record_index, homebranch, holdingbranch, location, itype, barcode from m")
 def items_join(spark, sf):
-    found = _with_items(spark, sf).select("record_index", F.explode(F.filter("fields", lambda f: f["tag"] == "952")).alias("f"))
+    found = each_field(_with_items(spark, sf), "952", "record_index")
     code = lambda c: F.get(F.transform(F.filter(F.col("f.subfields"), lambda s: s["code"] == c), lambda s: s["value"]), 0)
     return found.select("record_index", code("a").alias("homebranch"), code("b").alias("holdingbranch"), code("c").alias("location"), code("y").alias("itype"), code("p").alias("barcode"))
 
@@ -361,7 +361,7 @@ _RULES = [
 )
 def recon_apply(spark, sf):
     df = reconcile.apply_rules(_with_items(spark, sf), _RULES)
-    found = df.select("record_index", F.explode(F.filter("fields", lambda f: f["tag"] == "952")).alias("f"))
+    found = each_field(df, "952", "record_index")
     code = lambda c: F.get(F.transform(F.filter(F.col("f.subfields"), lambda s: s["code"] == c), lambda s: s["value"]), 0)
     return found.groupBy("record_index", code("y").alias("itype"), code("c").alias("location")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -391,21 +391,22 @@ def name_split(spark, sf):
     return c.select(F.col("c_custkey").alias("id"), *(text.name_split(v, p).alias(p) for p in ("surname", "firstname", "middlename")))
 
 
-def _edit(edit, *tags):
-    return lambda spark, sf: _values(edit(bibs(spark, sf)), *tags)
+def _edit(make, *tags):
+    """The values of some tags after an edit, which is made with the session there."""
+    return lambda spark, sf: _values(make()(bibs(spark, sf)), *tags)
 
 
 _T245 = "select k as record_index, '245' as tag, code, value from (select k, 'a' as code, {a} as value from bib where f245a is not null union all select k, 'b', p_type from bib where f245a is not null)"
-register("find_replace", _T245.format(a="replace(f245a, 'e', 'EE')"))(_edit(edits.find_replace("e", "EE", "245", "a"), "245"))
-register("find_replace_nocase", _T245.format(a="regexp_replace(f245a, 'A', '$', 'gi')"))(_edit(edits.find_replace("A", "$", "245", "a", case_sensitive=False), "245"))
-register("regex_replace", _T245.format(a=r"regexp_replace(f245a, '(\w)(\w)', '\2\1', 'g')"))(_edit(edits.regex_replace(r"([A-Za-z0-9_])([A-Za-z0-9_])", r"\2\1", "245", "a"), "245"))
-register("add_field", "select k as record_index, '590' as tag, 'a' as code, 'checked' as value from bib where f100a is null")(_edit(edits.add_field("590", [("a", "checked")], if_missing="100"), "590"))
-register("delete_field", "select k as record_index, '650' as tag, 'a' as code, value from (select k, p_brand as value from bib union all select k, p_type from bib) where not contains(lower(value), 'o')")(_edit(edits.delete_field("650", "a", "O"), "650"))
-register("call_numbers", "select k as record_index, '852' as tag, 'h' as code, f082a || case when f100a is null then '' else ' ' || upper(left(f100a, 1)) end as value from bib")(_edit(edits.call_numbers(), "852"))
+register("find_replace", _T245.format(a="replace(f245a, 'e', 'EE')"))(_edit(lambda: edits.find_replace("e", "EE", "245", "a"), "245"))
+register("find_replace_nocase", _T245.format(a="regexp_replace(f245a, 'A', '$', 'gi')"))(_edit(lambda: edits.find_replace("A", "$", "245", "a", case_sensitive=False), "245"))
+register("regex_replace", _T245.format(a=r"regexp_replace(f245a, '(\w)(\w)', '\2\1', 'g')"))(_edit(lambda: edits.regex_replace(r"([A-Za-z0-9_])([A-Za-z0-9_])", r"\2\1", "245", "a"), "245"))
+register("add_field", "select k as record_index, '590' as tag, 'a' as code, 'checked' as value from bib where f100a is null")(_edit(lambda: edits.add_field("590", [("a", "checked")], if_missing="100"), "590"))
+register("delete_field", "select k as record_index, '650' as tag, 'a' as code, value from (select k, p_brand as value from bib union all select k, p_type from bib) where not contains(lower(value), 'o')")(_edit(lambda: edits.delete_field("650", "a", "O"), "650"))
+register("call_numbers", "select k as record_index, '852' as tag, 'h' as code, f082a || case when f100a is null then '' else ' ' || upper(left(f100a, 1)) end as value from bib")(_edit(lambda: edits.call_numbers(), "852"))
 register(
     "macro_chain",
     "select k as record_index, '942' as tag, 'c' as code, replace(p_type, 'PROMO', 'SALE') || '!' as value from bib union all select k, '590', 'a', 'x' from bib",
-)(_edit(edits.macro(edits.find_replace("PROMO", "SALE", "942", "c"), edits.regex_replace(r"^(.+)$", r"\1!", "942", "c"), edits.add_field("590", [("a", "x")]), edits.delete_field("650")), "942", "590", "650"))
+)(_edit(lambda: edits.macro(edits.find_replace("PROMO", "SALE", "942", "c"), edits.regex_replace(r"^(.+)$", r"\1!", "942", "c"), edits.add_field("590", [("a", "x")]), edits.delete_field("650")), "942", "590", "650"))
 
 
 @register(
@@ -533,7 +534,7 @@ register("case_sentence", _VALUE.format(v="upper(left(p_name, 1)) || substr(p_na
 register("strip_punctuation", _VALUE.format(v="p_name"))(_converted("concat(p_name, ' .,:')", text.strip_punctuation))
 register("truncate", _VALUE.format(v="repeat('ab', 60) || '…'"))(_converted("concat(repeat('ab', 60), p_name)", text.truncate))
 register("file_safe", _VALUE.format(v="left(regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g'), 50)"))(_converted("p_name", text.file_safe))
-register("regex_first", _VALUE.format(v="regexp_replace(p_name, 'e', 'E')"))(_converted("p_name", text.substitute("s/e/E/")))
+register("regex_first", _VALUE.format(v="regexp_replace(p_name, 'e', 'E')"))(_converted("p_name", lambda v: text.substitute("s/e/E/")(v)))
 register("oclc", _VALUE.format(v="case when k % 3 = 0 then cast(k as varchar) end"))(_converted("f035a", text.oclc_number))
 register(
     "isbn13",
