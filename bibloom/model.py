@@ -19,6 +19,12 @@ def _column(x: Column | str | None) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def once(x: Column) -> Column:
+    """The same values, computed in one place: Catalyst neither moves filters through an
+    expression that isn't deterministic nor puts it in the place of its mentions."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def subfield(code: Column | str, value: Column | str | None) -> Column:
     return F.struct(_column(code).cast("string").alias("code"), _column(value).cast("string").alias("value"))
 

@@ -150,8 +150,12 @@ def gate(issues: DataFrame) -> DataFrame:
 def fix(bibs: DataFrame) -> DataFrame:
     """Records with what can be put right: leader bytes, the length of 008, indicators."""
     ldr = F.coalesce(F.col("leader"), F.lit(""))
+    parts, at = [], 0
     for p, (allowed, default) in LEADER.items():
-        ldr = F.when((F.length(ldr) > p) & ~F.substring(ldr, p + 1, 1).isin(*allowed), F.concat(F.substring(ldr, 1, p), F.lit(default), F.substring(ldr, p + 2, 1 << 20))).otherwise(ldr)
+        byte = F.substring(ldr, p + 1, 1)
+        parts += [F.substring(ldr, at + 1, p - at), F.when((byte == "") | byte.isin(*allowed), byte).otherwise(default)]
+        at = p + 1
+    ldr = F.concat(*parts, F.substring(ldr, at + 1, 1 << 10))
     digit = lambda x: F.when(x.rlike("^[ 0-9]$"), x).otherwise(" ")
 
     def one(f: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibloom.model import control, datafield, fields, subfield
+from bibloom.model import control, datafield, fields, once, subfield
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,7 @@ def bibs(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("650", "a", "p_type"),
         one("942", "c", "p_type"),
     )
-    # an expression that isn't deterministic keeps Catalyst from putting the making of all fields
-    # in the place of every mention of them; fields of a stored table are read, not made
-    made = F.when(F.spark_partition_id() >= 0, made)
-    return flat(spark, sf_dir).select(F.lit("part").alias("file_id"), F.col("k").alias("record_index"), "leader", made.alias("fields"))
+    return flat(spark, sf_dir).select(F.lit("part").alias("file_id"), F.col("k").alias("record_index"), "leader", once(made).alias("fields"))
 
 
 #: Item rows; (l_orderkey, l_linenumber) isn't unique, so all of it orders them.

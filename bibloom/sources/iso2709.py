@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bibloom.model import BIB_SCHEMA, FIELD, FIELDS, SUBFIELD, is_control
+from bibloom.model import BIB_SCHEMA, FIELD, FIELDS, SUBFIELD, is_control, once
 
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 #: Largest lengths that a directory and a leader can hold.
@@ -39,7 +39,7 @@ def decode(raw: DataFrame) -> DataFrame:
     """Records of raw ones; those whose leader or directory can't be read are left out. Bytes that
     aren't UTF-8 are replaced and control characters removed."""
     data = F.col("raw").cast("binary")
-    bytes_ = raw.withColumn("b", data).withColumn("base", F.substring(F.col("raw"), 13, 5).try_cast("int"))
+    bytes_ = raw.withColumn("b", once(data)).withColumn("base", F.substring(F.col("raw"), 13, 5).try_cast("int"))
     bytes_ = bytes_.where((F.octet_length("b") >= 25) & F.col("base").between(25, F.octet_length("b")))
     entries = bytes_.withColumn("entries", F.floor((F.col("base") - 25) / 12).cast("int"))
     directory = F.transform(
@@ -51,7 +51,7 @@ def decode(raw: DataFrame) -> DataFrame:
         ),
     )
     sound = F.forall("directory", lambda d: d["size"].isNotNull() & d["at"].isNotNull() & (F.col("base") + d["at"] + d["size"] <= F.octet_length("b") + 1))
-    parsed = entries.withColumn("directory", directory).where(sound)
+    parsed = entries.withColumn("directory", once(directory)).where(sound)
 
     def field(d: Column) -> Column:
         body = F.substring(F.col("b"), F.col("base") + d["at"] + 1, d["size"] - 1)
@@ -77,8 +77,8 @@ def _body(f: Column) -> Column:
 def encode(bibs: DataFrame) -> DataFrame:
     """(file_id, record_index, raw, oversize) without end marks; oversize records exceed what a
     directory can say and must not be written."""
-    bodies = bibs.withColumn("bodies", F.transform("fields", lambda f: F.struct(f["tag"].alias("tag"), F.concat(_body(f), F.lit("\x1e")).alias("text"))))
-    sizes = bodies.withColumn("sizes", F.transform("bodies", lambda x: F.octet_length(x["text"])))
+    bodies = bibs.withColumn("bodies", once(F.transform("fields", lambda f: F.struct(f["tag"].alias("tag"), F.concat(_body(f), F.lit("\x1e")).alias("text")))))
+    sizes = bodies.withColumn("sizes", once(F.transform("bodies", lambda x: F.octet_length(x["text"]))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def entry(acc: Column, k: Column) -> Column:
@@ -87,7 +87,7 @@ def encode(bibs: DataFrame) -> DataFrame:
         return F.struct((acc["at"] + size).alias("at"), F.concat(acc["text"], line).alias("text"))
 
     places = F.when(F.size("fields") > 0, F.sequence(F.lit(0), F.size("fields") - 1)).otherwise(F.array().cast("array<int>"))
-    made = sizes.withColumn("dir", F.aggregate(places, start, entry))
+    made = sizes.withColumn("dir", once(F.aggregate(places, start, entry)))
     base = 25 + 12 * F.size("fields")
     length = base + F.col("dir.at") + 1
     leader = F.rpad(F.coalesce("leader", F.lit("")), 24, " ")
