@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from bibloom.llm.common import map_batches, materialize
+from bibloom.llm.components import connected_components
 from bibloom.llm.linking import colliding, linked_components
 
 #: Steps that a fingerprint keeps at most, about.
@@ -298,20 +299,15 @@ def against_edited(df: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 # ---- near copies
 
 
-def band_keys(fingerprint: str, bands: int, width: int) -> list[int]:
-    """Hashes of ``bands`` samples of ``width`` kept steps, at the fingerprint's own level and
-    at the next, where a text of up to twice the length has its own."""
-    own = int(fingerprint[:2], 16)
+def band_keys(symbols: bytes, level: int, bands: int, width: int) -> list[int]:
+    """Hashes of ``bands`` samples of ``width`` of the steps kept at a level."""
+    choose = np.random.default_rng(level)
     out = []
-    for level in (own, own + 1):
-        symbols = _thinned(fingerprint, level)
-        choose = np.random.default_rng(level)
-        span = SAMPLE // 4  # a text keeps about as many at least at the level above its own
-        for b in range(bands):
-            places = choose.integers(0, span, width)
-            values = bytes(int(symbols[p]) if p < len(symbols) else 0 for p in places)
-            digest = hashlib.blake2b(bytes([level, b]) + values, digest_size=8).digest()
-            out.append(int.from_bytes(digest, "little", signed=True))
+    for b in range(bands):
+        places = choose.integers(0, SAMPLE // 4, width)  # a text keeps about as many at least, one level up
+        values = bytes(symbols[p] if p < len(symbols) else 0 for p in places.tolist())
+        digest = hashlib.blake2b(bytes([level, b]) + values, digest_size=8).digest()
+        out.append(int.from_bytes(digest, "little", signed=True))
     return out
 
 
@@ -319,31 +315,41 @@ def near_copies(df: DataFrame, text: str = "text", id_col: str = "doc_id", least
     """(id_col, component_id) of the rows whose text is near another's: bit-sampled bands of the
     fingerprints give candidates, and those of at least this likeness are linked.
 
-    component_id is the least id of the component. A pair at likeness 0.8 shares a band with
-    probability 0.99. Equal texts are one item; rows with a null id are left out.
+    component_id is the least id of the component. Every text takes part at its own level and at
+    the next, where one of up to twice its length has its own. A pair at likeness 0.8 shares a
+    band with probability 0.99. Equal fingerprints are one item; rows with a null id are left
+    out, repeated rows repeat, an empty table gives no rows.
     """
     prints = fingerprints(df.where(F.col(id_col).isNotNull()), text, id_col)
     prints = materialize(prints.withColumn("item", F.xxhash64("fingerprint", "n_chars")), "fingerprints")
     items = prints.groupBy("item").agg(F.first("fingerprint").alias("fingerprint"))
 
     def start():
-        return lambda ids, codes: [ids, [band_keys(c, bands, width) for c in codes]]
-
-    signed = materialize(map_batches(items, start, "id bigint, keys array<bigint>"), "signatures")
-    codes = materialize(items, "items")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = codes.select(F.col("item").alias("a"), F.col("fingerprint").alias("x"))
-        right = codes.select(F.col("item").alias("b"), F.col("fingerprint").alias("y"))
-
-        def start_verify():
-            return lambda a, b, x, y: [a, b, [likeness(p, q) >= least for p, q in zip(x, y, strict=True)]]
-
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return map_batches(both, start_verify, "a bigint, b bigint, near boolean").where("near").select("a", "b")
-
-    reached = linked_components(colliding(signed), verify)
-    members = prints.join(reached.withColumnRenamed("node", "item"), "item", "left")
-    members = members.withColumn("component", F.coalesce("component", "item"))
-    least_id = members.groupBy("component").agg(F.min(id_col).alias("component_id"), F.count(F.lit(1)).alias("n"))
-    return members.join(least_id.where(F.col("n") > 1), "component").select(id_col, "component_id")
+        def entries(ids, codes):
+            out = [[], [], [], []]
+            for i, code in zip(ids, codes, strict=True):
+                own = int(code[:2], 16)
+                for level in (own, own + 1):
+                    symbols = _thinned(code, level).tobytes()
+                    for column, value in zip(out, (i, level, band_keys(symbols, level, bands, width), symbols.decode()), strict=True):
+                        column.append(value)
+            return out
+
+        return entries
+
+    entries = map_batches(items, start, "item bigint, level int, keys array<bigint>, symbols string")
+    entries = materialize(entries.withColumn("id", F.xxhash64("item", "level")), "entries")
+
+    def places(symbols):  # of n kept steps, l in common are a Jaccard similarity of l / (2 n - l)
+        return F.transform(F.split(symbols, ""), lambda c, i: F.concat(i.cast("string"), c))
+
+    shared = colliding(entries.select("id", "keys"))
+    linked = linked_components(shared, entries.select("id", "symbols"), places, least / (2 - least))
+    edges = linked.join(entries.select("id", "item"), F.col("node") == F.col("id")).select(F.col("item").alias("a"), F.col("component").alias("b"))
+    reached = connected_components(edges, "a", "b")
+    members = prints.join(reached.withColumnRenamed("node", "item"), "item")
+    least_id = members.groupBy("component").agg(F.min(id_col).alias("component_id"))
+    again = prints.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("own"))
+    named = prints.join(again, "item").join(reached.withColumnRenamed("node", "item"), "item", "left").join(least_id, "component", "left")
+    named = named.where((F.col("n") > 1) | F.col("component_id").isNotNull())
+    return named.select(id_col, F.coalesce("component_id", "own").alias("component_id"))

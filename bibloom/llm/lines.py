@@ -14,22 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.llm.common import materialize
-from bibloom.llm.linking import colliding, linked_components
+from bibloom.llm.linking import agreeing, bounded, colliding, linked_components
 
 #: Characters of a shingle: long enough that unrelated lines hardly share any.
 SHINGLE = 9
 THRESHOLD = 0.8
 BANDS = 8
-ROWS = 3  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**3)**8 = 0.997
+ROWS = 4  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**4)**8 = 0.985, at 0.85 0.997
+#: Share of equal MinHash values below which a pair isn't compared exactly; at a similarity of 0.8
+#: fewer than 20 of 32 agree with probability 0.004.
+LIKELY = 0.62
+#: Removed places are broadcast up to this number (some 50 MB as a table), else shuffled.
+BROADCAST_PLACES = 1_000_000
 
 
-def _seeds(count: int) -> list[int]:
-    """Numbers with evenly spaced top bits and mixed lower ones (a multiplicative sequence)."""
+def seeds(count: int, bits: int = 64) -> list[int]:
+    """Signed numbers with evenly spaced top bits and mixed lower ones (a multiplicative
+    sequence)."""
     out = []
     for k in range(count):
         mixed = (k + 1) * 0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1
-        top = k * (1 << 64) // count
-        out.append((top & ~((1 << 58) - 1) | mixed & (1 << 58) - 1) - (1 << 63))
+        low = (1 << bits - 6) - 1
+        out.append(((k << bits) // count & ~low | mixed >> 64 - bits & low) - (1 << bits - 1))
     return out
 
 
@@ -39,49 +45,57 @@ def lines_of(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return lines.where(F.trim("line") != "").withColumn("line_id", F.xxhash64("line"))
 
 
+def _wide(line: Column) -> Column:
+    """The characters at two bytes each, so that a shingle is cut in constant time."""
+    return F.encode(line, "UTF-16BE")
+
+
+def _shingle_hash(wide: Column, at: Column, shingle: int) -> Column:
+    return F.xxhash64(F.substring(wide, 2 * at + 1, F.lit(2 * shingle)))
+
+
 def signatures(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(bucket, id) for every band of each distinct line of at least ``shingle`` characters.
+    """(id, keys, mins): the buckets and MinHash values of each distinct line of at least ``shingle`` characters.
 
-    The characters are laid out at four bytes each, so that a shingle is cut in constant time;
-    explosion, hashing and the minima run as one generated loop that combines before the
-    shuffle.
+    Explosion, hashing and the minima run as one generated loop that combines before the
+    shuffle; minima are taken over 32 bits to halve what is shuffled.
     """
-    seeds = _seeds(bands * rows)
-    wide = lines.where(F.length("line") >= shingle).select(
-        "line_id", F.encode("line", "UTF-32").alias("wide"), F.sequence(F.lit(0), F.length("line") - shingle).alias("starts")
+    wide = lines.select("line_id", _wide(F.col("line")).alias("wide")).where(F.octet_length("wide") >= 2 * shingle)
+    places = F.sequence(F.lit(0), (F.octet_length("wide") / 2).cast("int") - shingle)
+    hashed = wide.select("line_id", "wide", F.explode_outer(places).alias("at"))
+    # of the shingles those with an even hash, the same in every line; verification takes all.
+    # An expression that isn't deterministic keeps the filter from computing the hash once more
+    once = F.when(F.spark_partition_id() >= 0, _shingle_hash(F.col("wide"), F.col("at"), shingle))
+    hashed = hashed.select("line_id", once.alias("wide_hash")).where(F.col("wide_hash").bitwiseAND(F.lit(1)) == 0)
+    hashed = hashed.select("line_id", F.shiftright("wide_hash", 32).cast("int").alias("h"))
+    least = hashed.groupBy("line_id").agg(
+        *(F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds(bands * rows, 32)))
     )
-    hashed = wide.select("line_id", "wide", F.explode_outer("starts").alias("at"))
-    hashed = hashed.select("line_id", F.xxhash64(F.expr(f"substring(wide, 4 * at + 1, {4 * shingle})")).alias("h"))
-    least = hashed.groupBy("line_id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds)))
     keys = [F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands)]
-    return least.select(F.col("line_id").alias("id"), F.explode(F.array(*keys)).alias("bucket"))
+    return least.select(F.col("line_id").alias("id"), F.array(*keys).alias("keys"), F.array(*(f"m{k}" for k in range(bands * rows))).alias("mins"))
 
 
 def shingle_set(line: Column, shingle: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(line) - (shingle - 1)), lambda i: F.substring(line, i, F.lit(shingle))))
+    """Distinct hashes of the character shingles of a line of at least ``shingle`` characters."""
 
+    def hashes(wide: Column) -> Column:
+        last = (F.octet_length(wide) / 2).cast("int") - shingle
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle_hash(wide, i, shingle)))
 
-def similar(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two arrays of distinct values have at least this Jaccard similarity."""
-    common = F.size(F.array_intersect(a, b))
-    return common >= F.lit(threshold) * (F.size(a) + F.size(b) - common) - 1e-9
+    return F.flatten(F.transform(F.array(_wide(line)), hashes))
 
 
 def line_components(lines: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(line_id, component) of the lines that have a similar, not equal, one."""
-    shared = materialize(colliding(signatures(lines, shingle, bands, rows)), "colliding")
-    wanted = shared.select(F.col("id").alias("line_id")).distinct()
-    texts = lines.select("line_id", "line").join(wanted, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-    texts = materialize(texts, "line-texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"))
-        right = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        sets = both.select("a", "b", shingle_set(F.col("line_a"), shingle).alias("sa"), shingle_set(F.col("line_b"), shingle).alias("sb"))
-        return sets.where(similar(F.col("sa"), F.col("sb"), threshold)).select("a", "b")
-
-    return linked_components(shared, verify).withColumnRenamed("node", "line_id")
+    signed = materialize(signatures(lines, shingle, bands, rows), "signatures")
+    shared = colliding(signed)
+    wanted = materialize(shared.select(F.col("id").alias("line_id")).distinct(), "colliding-lines")
+    texts = lines.select("line_id", "line").join(bounded(wanted), "line_id", "left_semi")
+    texts = texts.groupBy("line_id").agg(F.first("line").alias("line"))
+    mins = signed.select(F.col("id").alias("line_id"), "mins").join(bounded(wanted), "line_id", "left_semi")
+    content = texts.join(mins, "line_id").select(F.col("line_id").alias("id"), F.struct("line", "mins").alias("content"))
+    found = linked_components(shared, materialize(content, "line-texts"), lambda c: shingle_set(c["line"], shingle), threshold, agreeing(LIKELY))
+    return found.withColumnRenamed("node", "line_id")
 
 
 def dedup(
@@ -104,15 +118,15 @@ def dedup(
     """
     lines = lines_of(df.where(F.col(id_col).isNotNull()), id_col, text)
     components = materialize(line_components(lines, shingle, threshold, bands, rows), "line-components")
-    places = repeated_places(lines, components, "line_id")
+    places = repeated_places(materialize(lines.select("doc", "place", "line_id"), "lines"), components, "line_id")
     gone = places.where(~F.col("kept")).select("doc", "place")
     return without_lines(df, gone, id_col, text)
 
 
 def repeated_places(lines: DataFrame, components: DataFrame, key: str) -> DataFrame:
     """(component, doc, place, first, kept) of every place whose line occurs again or is similar
-    to another; ``lines`` has doc, place and the line's ``key``, ``components`` key and
-    component. ``first`` is the struct (doc, place) of the component's first place."""
+    to another; ``lines``, a written table, has doc, place and the line's ``key``,
+    ``components`` key and component. ``first`` is the struct (doc, place) of the component's first place."""
     counts = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(components, key, "left")
     groups = counts.where((F.col("n") > 1) | F.col("component").isNotNull())
     groups = groups.select(key, F.coalesce("component", key).alias("component"))
@@ -125,7 +139,10 @@ def repeated_places(lines: DataFrame, components: DataFrame, key: str) -> DataFr
 def without_lines(df: DataFrame, gone: DataFrame, id_col: str, text: str) -> DataFrame:
     """The rows of ``df`` without the lines at (doc, place), with n_lines and n_removed."""
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    by_doc = gone.distinct().groupBy("doc").agg(F.collect_list("place").alias("_gone")).withColumnRenamed("doc", "_doc")
+    gone = materialize(gone.distinct(), "removed-places")
+    by_doc = gone.groupBy("doc").agg(F.collect_list("place").alias("_gone")).withColumnRenamed("doc", "_doc")
+    if gone.count() <= BROADCAST_PLACES:
+        by_doc = F.broadcast(by_doc)
     joined = df.select(*keep).join(by_doc, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
     split = F.split(text, "\n")
     left = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")

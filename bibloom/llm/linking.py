@@ -1,50 +1,174 @@
 """Verified links between items that share a bucket, without forming all pairs of a bucket.
 
-Each bucket's items are first compared with its least item alone. What these links leave apart
-is compared afterwards: in a bucket that still holds several components, the items outside the
-largest one are compared with every item of another component. So a bucket of any number of
-copies costs its own size, and yet no two items that share a bucket and belong together stay
-apart: either they are in one component already or they are compared.
+Each bucket's items are first compared with one pivot. Where that leaves several components in a
+bucket, the items outside its largest one are compared with further pivots taken from it. What is
+still apart then is compared in full, in blocks: a block of outsiders with each block of the
+bucket, inside one row, so that neither the number of rows nor the memory of a task grows with
+the pairs. So a bucket of any number of copies costs about its own size, and yet no two items
+that share a bucket and belong together stay apart: they are in one component already, or they
+are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.llm.common import materialize
 from bibloom.llm.components import connected_components
 
-#: From pairs (a, b) of item ids to those that really are similar.
-Verify = Callable[[DataFrame], DataFrame]
 
+def similar(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two arrays of distinct values have at least this Jaccard similarity.
 
-def colliding(buckets: DataFrame) -> DataFrame:
-    """(bucket, id, least): items of buckets with more than one, and the least of the bucket."""
-    sizes = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    return buckets.join(sizes.where(F.col("least") != F.col("most")), "bucket").select("bucket", "id", "least").distinct()
+    The arrays are bound by a lambda: a filter on plain expressions would compute them anew for
+    each mention.
+    """
 
+    def enough(p: Column) -> Column:
+        common = F.size(F.array_intersect(p["a"], p["b"]))
+        return common >= F.lit(threshold) * (F.size(p["a"]) + F.size(p["b"]) - common) - 1e-9
 
-def linked_components(shared: DataFrame, verify: Verify) -> DataFrame:
-    """(node, component) of the items with a verified link; ``shared`` comes from ``colliding``
-    and is read several times, so it should be a written table."""
-    star = shared.where(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(verify(star), "star-links")
-    first = materialize(connected_components(links, "a", "b"), "components")
+    return F.exists(F.array(F.struct(a.alias("a"), b.alias("b"))), enough)
 
-    grouped = shared.select("bucket", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "id"))
+
+#: Further pivots that outsiders of a bucket are compared with before the comparison in full.
+MORE_PIVOTS = 1
+#: Items of a block, on average.
+BLOCK_ITEMS = 32
+#: Keys are broadcast up to this number (8 bytes each, some 50 MB as a table), else shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """The side of a join, as a broadcast if it is small enough; for written tables."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def colliding(signed: DataFrame) -> DataFrame:
+    """(bucket, id, pivot): items of buckets with more than one, and one item of the bucket.
+
+    ``signed`` is a written table with one row for each item: id and keys, an array of its
+    buckets. Most buckets have one item; they are dropped by a count of the bare keys.
+    """
+    buckets = signed.select("id", F.explode_outer("keys").alias("bucket"))
+    repeated = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
+    repeated = materialize(repeated, "repeated-buckets")
+    shared = materialize(buckets.join(bounded(repeated), "bucket").distinct(), "shared-buckets")
+    pivots = shared.groupBy("bucket").agg(F.min("id").alias("pivot"))
+    return materialize(shared.join(pivots, "bucket"), "colliding")
+
+
+def _pivots(members: DataFrame, name: str, salt: int) -> DataFrame:
+    """(bucket, name): an item of each bucket, another one for another bucket or salt."""
+    mask = F.xxhash64("bucket", F.lit(salt))
+    # with ids that are hashes, the least one after an exclusive or is as good as drawn
+    return members.groupBy("bucket", mask.alias("mask")).agg(F.min(F.col("id").bitwiseXOR(mask)).alias("m")).select("bucket", F.col("m").bitwiseXOR(F.col("mask")).alias(name))
+
+
+def _open(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """(bucket, id, component, outside) of the buckets that hold several components; outside: not
+    in the largest."""
+    grouped = shared.select("bucket", "id").join(components.withColumnRenamed("node", "id"), "id", "left")
+    grouped = materialize(grouped.withColumn("component", F.coalesce("component", "id")), "grouped")
     sizes = grouped.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
     mixed = mixed.where(F.col("parts") > 1).select("bucket", "largest")
-    open_ = materialize(grouped.join(mixed, "bucket"), "open-buckets")
-    some = open_.where(F.col("component") != F.col("largest")).select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    every = open_.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"))
-    pairs = some.join(every, "bucket").where(F.col("cx") != F.col("cy"))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialize(verify(pairs.join(star, ["a", "b"], "left_anti")), "cross-links")
+    found = grouped.join(mixed, "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
+    return materialize(found, "open-buckets")
+
+
+def _always(x: Column, y: Column) -> Column:
+    return F.lit(True)
+
+
+def agreeing(least: float) -> Callable[[Column, Column], Column]:
+    """Whether at least this share of two arrays of MinHash values agrees."""
+
+    def test(x: Column, y: Column) -> Column:
+        return F.size(F.filter(F.zip_with(x["mins"], y["mins"], lambda a, b: a == b), lambda same: same)) >= F.lit(least) * F.size(x["mins"])
+
+    return test
+
+
+def linked_components(
+    shared: DataFrame,
+    content: DataFrame,
+    as_set: Callable[[Column], Column],
+    threshold: float,
+    likely: Callable[[Column, Column], Column] = _always,
+) -> DataFrame:
+    """(node, component) of the items with a verified link.
+
+    ``shared`` comes from ``colliding``; ``content`` is a written table of id and content for its
+    items, and ``as_set`` makes a content column an array of distinct hashes. Linked are items of
+    a Jaccard similarity of at least ``threshold``; pairs of contents that aren't ``likely`` are
+    not compared.
+    """
+    match = _Match(as_set, threshold, likely)
+    star = shared.where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
+    links = materialize(_pivot_links(star, content, match), "star-links")
+    components = connected_components(links, "a", "b")
+    for salt in range(1, MORE_PIVOTS + 1):
+        left = _open(shared, components)
+        pivots = _pivots(left.where(~F.col("outside")), "pivot", salt)
+        pairs = left.where("outside").join(pivots, "bucket").select("pivot", "id").distinct()
+        more = materialize(_pivot_links(pairs, content, match), "pivot-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        components = connected_components(links, "a", "b")
+    more = materialize(_block_links(_open(shared, components), content, match), "block-links")
     if more.isEmpty():
-        return first
+        return components
     return connected_components(links.unionByName(more), "a", "b")
+
+
+class _Match(NamedTuple):
+    as_set: Callable[[Column], Column]
+    threshold: float
+    likely: Callable[[Column, Column], Column]
+
+
+def _pivot_links(pairs: DataFrame, content: DataFrame, match: _Match) -> DataFrame:
+    """(a, b): the links between pivots and items; a block of a pivot's items is one row, so that
+    its own set is made once for all of them."""
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ITEMS)).alias("blocks"))
+    placed = pairs.join(blocks, "pivot").join(content.toDF("id", "content"), "id")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+    grouped = placed.groupBy("pivot", block).agg(F.collect_list(F.struct("id", "content")).alias("items"))
+    rows = grouped.join(content.toDF("pivot", "own"), "pivot")
+
+    def near(own: Column) -> Column:
+        likely = F.filter(F.col("items"), lambda y: match.likely(F.col("own"), y["content"]))
+        return F.filter(likely, lambda y: similar(own, match.as_set(y["content"]), match.threshold))
+
+    linked = F.flatten(F.transform(F.array(match.as_set(F.col("own"))), near))
+    found = rows.select(F.col("pivot").alias("a"), F.explode_outer(F.transform(linked, lambda y: y["id"])).alias("b"))
+    return found.where(F.col("b").isNotNull())
+
+
+def _block_links(left: DataFrame, content: DataFrame, match: _Match) -> DataFrame:
+    """(a, b): the links between outsiders and items of other components in the same bucket."""
+    buckets = left.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # a few for each item
+    wanted = buckets.join(content.toDF("id", "content"), "id")
+    members = left.join(wanted, "id").withColumn("item", F.struct("id", "component", "buckets", "content"))
+    counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(BLOCK_ITEMS))).cast("int").alias("block")
+    placed = members.join(counts, "bucket").select("bucket", block, "outside", "item")
+    every = placed.groupBy("bucket", "block").agg(F.collect_list("item").alias("items"))
+    some = placed.where("outside").groupBy("bucket", "block").agg(F.collect_list("item").alias("outsiders"))
+    rows = some.drop("block").join(every.drop("block"), "bucket")
+
+    def links_of(x: Column) -> Column:
+        # cheap tests first; each pair only in the first bucket that both are in
+        some = F.filter(F.col("items"), lambda y: (x["component"] != y["component"]) & match.likely(x["content"], y["content"]))
+        here = F.filter(some, lambda y: F.array_min(F.array_intersect(x["buckets"], y["buckets"])) == F.col("bucket"))
+        near = F.filter(here, lambda y: similar(match.as_set(x["content"]), match.as_set(y["content"]), match.threshold))
+        return F.transform(near, lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+
+    links = F.flatten(F.transform("outsiders", links_of))
+    return rows.select(F.explode_outer(links).alias("link")).where(F.col("link").isNotNull()).select("link.a", "link.b").distinct()
