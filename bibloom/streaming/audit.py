@@ -12,16 +12,23 @@ def follow(spark: SparkSession, folder: str, schema: T.StructType, files_at_a_ti
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(folder)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks bound the state of streams; they need times with a zone."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def counts_by_window(events: DataFrame, time: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, kind, n) of tumbling windows; works on batches and, with a watermark that bounds
     the state, on streams."""
-    timed = events.withWatermark(time, late) if events.isStreaming else events
+    timed = _timed(events, time, late)
     return timed.groupBy(F.window(time, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
 def sessions(events: DataFrame, time: str = "ts", user: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user, start, finish, n) of runs of events without a longer gap."""
-    timed = events.withWatermark(time, late) if events.isStreaming else events
+    timed = _timed(events, time, late)
     grouped = timed.groupBy(user, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(user, F.col("w.start").alias("start"), F.col("w.end").alias("finish"), "n")
 
