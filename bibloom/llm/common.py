@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 #: Rows of a record batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
-#: Files of an intermediate table for each core of the cluster.
+#: An intermediate table gets a few files for each core of the cluster, and at least one for so
+#: many shuffle partitions.
 FILES_PER_CORE = 4
+PARTITIONS_PER_FILE = 8
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition index above, row of the partition below
 
@@ -36,11 +38,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The table cuts the lineage, survives the loss of executors and fixes the rows of anything
-    that is not deterministic. It gets a few files for each core, however many partitions made
-    it: each of its tasks works through its partitions one after another.
+    that is not deterministic. It gets fewer files than partitions made it: each task works
+    through some partitions one after another.
     """
     spark = df.sparkSession
-    df = df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, partitions // PARTITIONS_PER_FILE, 1))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.llm.common import materialize
-from bibloom.llm.linking import agreeing, bounded, colliding, linked_components
+from bibloom.llm.linking import agreeing, bounded, colliding, linked_components, placed_values
 
 #: Characters of a shingle: long enough that unrelated lines hardly share any.
 SHINGLE = 9
@@ -92,7 +92,7 @@ def line_components(lines: DataFrame, shingle: int = SHINGLE, threshold: float =
     wanted = materialize(shared.select(F.col("id").alias("line_id")).distinct(), "colliding-lines")
     texts = lines.select("line_id", "line").join(bounded(wanted), "line_id", "left_semi")
     texts = texts.groupBy("line_id").agg(F.first("line").alias("line"))
-    mins = signed.select(F.col("id").alias("line_id"), "mins").join(bounded(wanted), "line_id", "left_semi")
+    mins = signed.select(F.col("id").alias("line_id"), placed_values(F.col("mins")).alias("mins")).join(bounded(wanted), "line_id", "left_semi")
     content = texts.join(mins, "line_id").select(F.col("line_id").alias("id"), F.struct("line", "mins").alias("content"))
     found = linked_components(shared, materialize(content, "line-texts"), lambda c: shingle_set(c["line"], shingle), threshold, agreeing(LIKELY))
     return found.withColumnRenamed("node", "line_id")

@@ -85,11 +85,16 @@ def _always(x: Column, y: Column) -> Column:
     return F.lit(True)
 
 
+def placed_values(mins: Column) -> Column:
+    """MinHash values, each with its place above it, so that arrays of them compare as sets."""
+    return F.transform(mins, lambda m, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(m.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
 def agreeing(least: float) -> Callable[[Column, Column], Column]:
-    """Whether at least this share of two arrays of MinHash values agrees."""
+    """Whether at least this share of the ``placed_values`` in two contents agrees."""
 
     def test(x: Column, y: Column) -> Column:
-        return F.size(F.filter(F.zip_with(x["mins"], y["mins"], lambda a, b: a == b), lambda same: same)) >= F.lit(least) * F.size(x["mins"])
+        return F.size(F.array_intersect(x["mins"], y["mins"])) >= F.lit(least) * F.size(x["mins"])
 
     return test
 
