@@ -18,7 +18,6 @@ from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from bibloom.llm.common import map_batches
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import sys
-import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
