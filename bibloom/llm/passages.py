@@ -1,0 +1,151 @@
+"""Passages of over fifty words that stand in several documents, wherever their lines break.
+
+Word grams chosen by winnowing, at least one in every ``PASSAGE`` words, find the documents that
+may share a passage; there every run of ``PASSAGE`` words is looked up by its hash, so that no
+shared run is missed, and consecutive runs are joined to spans.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from bibloom.llm.common import map_batches, materialize
+from bibloom.llm.linking import bounded
+
+#: Words of the shortest passage.
+PASSAGE = 51
+#: Words of a gram; of so many grams one after another that PASSAGE words are full, one is chosen.
+GRAM = 26
+_WINDOW = PASSAGE - GRAM + 1
+_FACTOR = 0x9E3779B97F4A7C15
+#: Words whose hash a task remembers.
+_KNOWN = 1 << 20
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > _KNOWN:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` consecutive words, from sums of their hashes times powers."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+
+    def powers(base: int) -> np.ndarray:
+        factors = np.full(len(words), base, np.uint64)
+        factors[0] = 1
+        return np.multiply.accumulate(factors)
+
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(_FACTOR), out=sums[1:])
+    h = (sums[size:] - sums[:n]) * powers(pow(_FACTOR, -1, 1 << 64))[:n]
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def _over_windows(f: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The least (or greatest) of every ``width`` consecutive values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = f(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def winnowed(grams: np.ndarray) -> np.ndarray:
+    """The distinct grams that are the least of some window."""
+    if len(grams) < _WINDOW:
+        return grams[:0]
+    least = _over_windows(np.minimum, grams, _WINDOW)
+    around = np.concatenate([np.zeros(_WINDOW - 1, np.uint64), least, np.zeros(_WINDOW - 1, np.uint64)])
+    return np.unique(grams[_over_windows(np.maximum, around, _WINDOW) == grams])
+
+
+def shared_passages(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc, word, n_words, line, last_line, component, first_doc, first_word, first_line,
+    removed): spans of lower-cased words whose every PASSAGE consecutive ones also stand in
+    another document. ``first``: where the span's passage comes first, by id, then place."""
+    docs = df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
+    kind = dict(docs.dtypes)["doc"]
+
+    def choose():
+        known = _Hashes()
+
+        def rows(ids, texts):
+            chosen = [winnowed(gram_hashes(known.of(t.lower().split()), GRAM)).view(np.int64).tolist() for t in texts]
+            return [ids, chosen]
+
+        return rows
+
+    chosen = materialize(map_batches(docs, choose, f"doc {kind}, grams array<bigint>").where(F.size("grams") > 0), "passage-grams")
+    each = chosen.select("doc", F.explode("grams").alias("gram"))
+
+    def in_several(grams: DataFrame) -> DataFrame:
+        found = grams.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        return materialize(found.where(F.col("lo") < F.col("hi")).select("gram"), "shared-grams")
+
+    hits = each.join(bounded(in_several(each)), "gram").groupBy("doc").agg(F.collect_set("gram").alias("grams"))
+    near = materialize(docs.join(hits, "doc"), "passage-texts")
+
+    def look_up():
+        known = _Hashes()
+
+        def rows(ids, texts, shared):
+            out = [[], [], [], [], []]
+            for i, t, hit in zip(ids, texts, shared, strict=True):
+                parts = [x.split() for x in t.lower().split("\n")]
+                line = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                words = known.of([w for x in parts for w in x])
+                found = np.isin(gram_hashes(words, GRAM), np.array(hit, np.int64).view(np.uint64))
+                runs = gram_hashes(words, PASSAGE)
+                # a run that holds a found gram begins up to _WINDOW - 1 words before it
+                at = np.flatnonzero(_over_windows(np.maximum, found, _WINDOW)) if len(runs) else np.zeros(0, np.int64)
+                values = ([i] * len(at), runs[at].view(np.int64).tolist(), at.tolist(), line[at].tolist(), line[at + PASSAGE - 1].tolist())
+                for column, more in zip(out, values, strict=True):
+                    column += more
+            return out
+
+        return rows
+
+    runs = map_batches(near, look_up, f"doc {kind}, gram bigint, word int, line int, last_line int", slice_rows=32)
+    runs = materialize(runs, "passage-runs")
+    firsts = runs.join(bounded(in_several(runs)), "gram").groupBy("gram").agg(F.min(F.struct("doc", "word", "line")).alias("first"))
+    # consecutive first places are one passage; a document has each of its words here once
+    firsts = firsts.select("gram", F.col("first.doc").alias("first_doc"), F.col("first.word").alias("at"), F.col("first.line").alias("at_line"))
+    island = F.col("at") - F.row_number().over(Window.partitionBy("first_doc").orderBy("at"))
+    whole = Window.partitionBy("first_doc", "island")
+    firsts = firsts.withColumn("island", island)
+    firsts = firsts.select("gram", "first_doc", F.min("at").over(whole).alias("first_word"), F.min("at_line").over(whole).alias("first_line"))
+    firsts = materialize(firsts, "first-passages")
+    placed = runs.distinct().join(bounded(firsts), "gram")
+    group = ["doc", "first_doc", "first_word", "first_line"]
+    placed = placed.withColumn("island", F.col("word") - F.dense_rank().over(Window.partitionBy(*group).orderBy("word")))
+    spans = placed.groupBy(*group, "island").agg(
+        F.min("word").alias("word"), F.max("word").alias("end"), F.min("line").alias("line"), F.max("last_line").alias("last_line")
+    )
+    return spans.select(
+        "doc",
+        "word",
+        (F.col("end") - F.col("word") + PASSAGE).alias("n_words"),
+        "line",
+        "last_line",
+        F.xxhash64("first_doc", "first_word").alias("component"),
+        "first_doc",
+        "first_word",
+        "first_line",
+        (F.col("doc") != F.col("first_doc")).alias("removed"),
+    )

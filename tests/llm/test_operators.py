@@ -392,6 +392,28 @@ def test_paragraph_odd_rows(spark):
     assert paragraphs.repeated_paragraphs(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_across_short_lines_and_inside_long_ones(spark):
+    """Passages of 51 words, in lines of seven words and within a line of 300."""
+    random.seed(9)
+
+    def own(n):
+        return [f"w{random.randrange(10**9)}" for _ in range(n)]
+
+    def short(words):
+        return "\n".join(" ".join(words[k : k + 7]) for k in range(0, len(words), 7))
+
+    a, b = own(51), own(51)
+    rows = [*ODD, (7, short(own(30) + a + own(20))), (8, short(own(11) + a + own(9))), (9, " ".join(own(120) + b + own(129))), (10, short(own(3) + b)), (11, " ".join(own(300)))]
+    rows.append((12, " ".join(own(40) + b[:50] + own(40))))
+    found = paragraphs.repeated_paragraphs(docs_of(spark, rows)).collect()
+    got = {(r["doc_id"], r["word"], r["n_words"], r["paragraph"], r["first_doc"], r["first_paragraph"], r["removed"]) for r in found}
+    assert got == {(7, 30, 51, 4, 7, 4, False), (8, 11, 51, 1, 7, 4, True), (9, 120, 51, 0, 9, 0, False), (10, 3, 51, 0, 9, 0, True)}
+    assert len({r["component_id"] for r in found}) == 2
+    left = {r["doc_id"]: r["text"].split() for r in paragraphs.dedup(docs_of(spark, rows)).where("doc_id >= 7").collect()}
+    assert left[8] == rows[9][1].split()[:11] + rows[9][1].split()[62:] and left[10] == rows[11][1].split()[:3]
+    assert all(left[i] == dict(rows)[i].split() for i in (7, 9, 11, 12))
+
+
 # ---- quotes
 
 
