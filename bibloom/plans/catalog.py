@@ -547,7 +547,7 @@ register("normalize_text", _VALUE.format(v="'cafe ' || lower(regexp_replace(p_na
 @register("title_case")
 def title_case(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", text.case_title(F.substring("text", 1, 1 << 20)).alias("value"))
+    return docs.select("doc_id", text.case_title(F.col("text")).alias("value"))
 
 
 @register("strip_html")

@@ -32,9 +32,9 @@ def parse_mnemonic(blocks: DataFrame, text: str = "text") -> DataFrame:
     unblank = lambda x: F.replace(x, F.lit("\\"), F.lit(" "))
 
     def field(x: Column) -> Column:
-        tag, rest = F.substring(x, 2, 3), F.substring(x, 7, 1 << 20)
-        parts = F.slice(F.split(F.substring(rest, 3, 1 << 20), r"\$"), 2, 1 << 20)
-        subs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).alias("code"), F.replace(F.substring(p, 2, 1 << 20), F.lit("{dollar}"), F.lit("$")).alias("value")))
+        tag, rest = F.substring(x, 2, 3), F.substring(x, F.lit(7), F.length(x))
+        parts = F.filter(F.split(F.substring(rest, F.lit(3), F.length(rest)), r"\$"), lambda _, i: i > 0)
+        subs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).alias("code"), F.replace(F.substring(p, F.lit(2), F.length(p)), F.lit("{dollar}"), F.lit("$")).alias("value")))
         ctl = tag < "010"
         ind = lambda k: F.when(~ctl, unblank(F.substring(rest, k, 1)))
         return F.struct(tag.alias("tag"), ind(1).alias("ind1"), ind(2).alias("ind2"), F.when(ctl, unblank(rest)).alias("data"), F.when(~ctl, subs).alias("subfields")).cast(FIELD)

@@ -56,3 +56,10 @@ def test_changes_of_records(spark):
     assert found["b57"][0] == "removed"
     assert found["nb1"][0] == "added"
     assert all(v == ("changed", "942") for v in found.values() if v[0] == "changed" and "," not in v[1])
+
+
+def test_title_case_takes_whole_texts(spark, tmp_path):
+    body = "ab " * 400_000 + "the end"
+    spark.createDataFrame([(1, body)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    value = catalog.QUERIES["title_case"](spark, str(tmp_path)).first()["value"]
+    assert len(value) == len(body) and value.endswith("Ab The End")
