@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from bibloom.llm.common import materialize
 from bibloom.llm.linking import agreeing, bounded, colliding, linked_components
 
-#: Characters of a shingle: long enough that unrelated lines hardly share any.
-SHINGLE = 9
+#: Characters of a shingle: one changed character breaks so many of a line's.
+SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 8
 ROWS = 4  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**4)**8 = 0.985, at 0.85 0.997

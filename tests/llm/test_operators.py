@@ -189,6 +189,26 @@ def test_near_copies(spark):
     assert got == {1: 1, 2: 1, 4: 1}
 
 
+def test_near_copies_with_changed_parts(spark):
+    """Copies at a likeness of 0.8 or somewhat more, changed at the beginning, in the middle or at the end."""
+    random.seed(4)
+
+    def words(n):
+        return "".join(random.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+
+    rows, pairs = [], []
+    for k in range(60):
+        n = random.randrange(1000, 4000)
+        base, part = words(n), n * 17 // 100
+        at = (0, n // 2, n - part)[k % 3]
+        rows += [(2 * k, base), (2 * k + 1, base[:at] + words(part) + base[at + part :])]
+        a, b = editprints.embed([rows[-2][1], rows[-1][1]])
+        if editprints.likeness(a, b) >= 0.8:
+            pairs.append(k)
+    got = {r["doc_id"]: r["component_id"] for r in editprints.near_copies(docs_of(spark, rows)).collect()}
+    assert len(pairs) > 25 and sum(got.get(2 * k) == got.get(2 * k + 1) == 2 * k for k in pairs) >= 0.95 * len(pairs)
+
+
 # ---- tokenizers
 
 
@@ -343,6 +363,21 @@ def test_line_dedup_query(spark):
     assert got == want
 
 
+def test_line_dedup_query_against_five_characters(spark):
+    docs = sorted((r["doc_id"], r["text"]) for r in queries.table(spark, FOLDER, "documents").collect())
+    distinct = list(dict.fromkeys(x for _, t in docs for x in t.split("\n") if x.strip(" ")))
+    group = jaccard_groups(distinct, lambda x: {x[i : i + 5] for i in range(len(x) - 4)})
+    seen, want = set(), {}
+    for i, t in docs:
+        kept = []
+        for x in t.split("\n"):
+            if not x.strip(" ") or group[x] not in seen:
+                kept.append(x)
+            seen.add(group.get(x))
+        want[i] = "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in queries.op6_line_dedup(spark, FOLDER).collect()} == want
+
+
 def test_line_dedup_odd_rows(spark):
     line = "a line of some length that comes again and again, nearly the same"
     rows = [*ODD, (7, f"{line}\n\nshort\n{line}!"), (8, f"short\n{line.upper()}\n\n{line}")]
@@ -369,6 +404,43 @@ def test_many_near_lines_are_one_component(spark):
     assert removed == len(texts) - len(set(want.values()))
 
 
+def test_lines_with_one_changed_character_are_similar(spark):
+    random.seed(6)
+    rows = []
+    for k in range(60):
+        line = "".join(random.choice("abcdefghijklmnop ") for _ in range(random.randrange(52, 80))).strip().ljust(52, "x")
+        rows += [(2 * k, line), (2 * k + 1, f"{line[:25]}#{line[26:]}")]
+    removed = {r["doc_id"]: r["n_removed"] for r in lines.dedup(docs_of(spark, rows)).collect()}
+    assert sum(removed[2 * k + 1] for k in range(60)) >= 58 and not any(removed[2 * k] for k in range(60))
+
+
+def test_recall_of_short_lines(spark):
+    """Lines of 20 to 40 characters and longer copies at a similarity of 0.8 to 0.85."""
+    random.seed(7)
+    rows = []
+    for k in range(200):
+        line = "".join(random.choice("abcdefghijklmnopqrstuvw") for _ in range(random.randrange(20, 41)))
+        n = len(line) - 4
+        rows += [(2 * k, line), (2 * k + 1, line + "".join(random.choice("xyz0123456789") for _ in range(n // 4)))]
+    removed = {r["doc_id"]: r["n_removed"] for r in lines.dedup(docs_of(spark, rows)).collect()}
+    found = sum(removed[2 * k + 1] for k in range(200))
+    print("recall", found / 200)
+    assert found >= 190
+
+
+def test_recall_of_long_paragraphs_at_the_threshold(spark):
+    """Every pair that shares a bucket is compared exactly: paragraphs at a similarity of 0.8."""
+    random.seed(8)
+    rows = []
+    for k in range(300):
+        words = [f"w{random.randrange(10**9)}" for _ in range(84)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"v{random.randrange(10**9)}" for _ in range(20)]))]
+    places = paragraphs.paragraphs_of(docs_of(spark, rows), "doc_id", "text")
+    found = paragraphs.paragraph_components(places).groupBy("component").count().where("count = 2").count()
+    print("recall", found / 300)
+    assert found >= 296
+
+
 def test_paragraph_query(spark):
     folder = FOLDER
     docs = sorted((r["doc_id"], r["text"]) for r in queries.table(spark, folder, "documents").collect())
@@ -382,6 +454,23 @@ def test_paragraph_query(spark):
     assert got == want
 
 
+def test_every_shared_run_of_words_is_reported(spark):
+    """Each 51 words that stand in two documents lie in a passage's row or touch a line's."""
+    docs = {r["doc_id"]: r["text"] for r in queries.table(spark, FOLDER, "documents").collect()}
+    runs = defaultdict(set)
+    for i, t in docs.items():
+        words = t.lower().split()
+        for k in range(len(words) - 50):
+            runs[" ".join(words[k : k + 51])].add((i, k))
+    want = {p for places in runs.values() if len({i for i, _ in places}) > 1 for p in places}
+    reported = defaultdict(set)
+    for r in queries.op1_substring_dedup(spark, FOLDER).collect():
+        parts = [len(x.split()) for x in docs[r["doc_id"]].split("\n")]
+        begin, n = (sum(parts[: r["paragraph"]]), parts[r["paragraph"]]) if r["word"] is None else (r["word"], r["n_words"])
+        reported[r["doc_id"]].update(range(begin, begin + n))
+    assert want and all(reported[i] & set(range(k, k + 51)) for i, k in want)
+
+
 def test_paragraph_odd_rows(spark):
     passage = " ".join(f"word{k}" for k in range(60))
     rows = [*ODD, (7, f"x\n{passage}"), (8, passage.upper().replace(" ", "  ")), (9, passage + " more"), (9, passage + " more"), (None, passage)]
