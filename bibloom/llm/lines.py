@@ -14,16 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.llm.common import materialize
-from bibloom.llm.linking import agreeing, bounded, colliding, linked_components
+from bibloom.llm.linking import bounded, colliding, linked_components
 
 #: Characters of a shingle: one changed character breaks so many of a line's.
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 8
-ROWS = 4  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**4)**8 = 0.985, at 0.85 0.997
-#: Share of equal MinHash values below which a pair isn't compared exactly; at a similarity of 0.8
-#: fewer than 20 of 32 agree with probability 0.004.
-LIKELY = 0.62
+BANDS = 12
+ROWS = 4  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**4)**12 = 0.998, of few shingles somewhat less
 #: Removed places are broadcast up to this number (some 50 MB as a table), else shuffled.
 BROADCAST_PLACES = 1_000_000
 
@@ -55,7 +52,7 @@ def _shingle_hash(wide: Column, at: Column, shingle: int) -> Column:
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, keys, mins): the buckets and MinHash values of each distinct line of at least ``shingle`` characters.
+    """(id, keys): the buckets of each distinct line of at least ``shingle`` characters.
 
     Explosion, hashing and the minima run as one generated loop that combines before the
     shuffle; minima are taken over 32 bits to halve what is shuffled.
@@ -63,16 +60,14 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, row
     wide = lines.select("line_id", _wide(F.col("line")).alias("wide")).where(F.octet_length("wide") >= 2 * shingle)
     places = F.sequence(F.lit(0), (F.octet_length("wide") / 2).cast("int") - shingle)
     hashed = wide.select("line_id", "wide", F.explode_outer(places).alias("at"))
-    # of the shingles those with an even hash, the same in every line; verification takes all.
-    # An expression that isn't deterministic keeps the filter from computing the hash once more
-    once = F.when(F.spark_partition_id() >= 0, _shingle_hash(F.col("wide"), F.col("at"), shingle))
-    hashed = hashed.select("line_id", once.alias("wide_hash")).where(F.col("wide_hash").bitwiseAND(F.lit(1)) == 0)
-    hashed = hashed.select("line_id", F.shiftright("wide_hash", 32).cast("int").alias("h"))
+    # an expression that isn't deterministic keeps the hash from being computed for each minimum
+    once = F.when(F.spark_partition_id() >= 0, F.shiftright(_shingle_hash(F.col("wide"), F.col("at"), shingle), 32).cast("int"))
+    hashed = hashed.select("line_id", once.alias("h"))
     least = hashed.groupBy("line_id").agg(
         *(F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds(bands * rows, 32)))
     )
     keys = [F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands)]
-    return least.select(F.col("line_id").alias("id"), F.array(*keys).alias("keys"), F.array(*(f"m{k}" for k in range(bands * rows))).alias("mins"))
+    return least.select(F.col("line_id").alias("id"), F.array(*keys).alias("keys"))
 
 
 def shingle_set(line: Column, shingle: int) -> Column:
@@ -92,9 +87,8 @@ def line_components(lines: DataFrame, shingle: int = SHINGLE, threshold: float =
     wanted = materialize(shared.select(F.col("id").alias("line_id")).distinct(), "colliding-lines")
     texts = lines.select("line_id", "line").join(bounded(wanted), "line_id", "left_semi")
     texts = texts.groupBy("line_id").agg(F.first("line").alias("line"))
-    mins = signed.select(F.col("id").alias("line_id"), "mins").join(bounded(wanted), "line_id", "left_semi")
-    content = texts.join(mins, "line_id").select(F.col("line_id").alias("id"), F.struct("line", "mins").alias("content"))
-    found = linked_components(shared, materialize(content, "line-texts"), lambda c: shingle_set(c["line"], shingle), threshold, agreeing(LIKELY))
+    content = texts.select(F.col("line_id").alias("id"), F.col("line").alias("content"))
+    found = linked_components(shared, materialize(content, "line-texts"), lambda c: shingle_set(c, shingle), threshold)
     return found.withColumnRenamed("node", "line_id")
 
 
