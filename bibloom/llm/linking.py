@@ -30,7 +30,10 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
 
     def enough(p: Column) -> Column:
         common = F.size(F.array_intersect(p["a"], p["b"]))
-        return common >= F.lit(threshold) * (F.size(p["a"]) + F.size(p["b"]) - common) - 1e-9
+        sizes = F.size(p["a"]), F.size(p["b"])
+        # sets of too different sizes can't be similar; the intersection isn't made then
+        possible = F.least(*sizes) >= F.lit(threshold) * F.greatest(*sizes) - 1e-9
+        return possible & (common >= F.lit(threshold) * (sizes[0] + sizes[1] - common) - 1e-9)
 
     return F.exists(F.array(F.struct(a.alias("a"), b.alias("b"))), enough)
 
@@ -81,34 +84,19 @@ def _open(shared: DataFrame, components: DataFrame) -> DataFrame:
     return materialize(found, "open-buckets")
 
 
-def _always(x: Column, y: Column) -> Column:
-    return F.lit(True)
-
-
-def agreeing(least: float) -> Callable[[Column, Column], Column]:
-    """Whether at least this share of two arrays of MinHash values agrees."""
-
-    def test(x: Column, y: Column) -> Column:
-        return F.size(F.filter(F.zip_with(x["mins"], y["mins"], lambda a, b: a == b), lambda same: same)) >= F.lit(least) * F.size(x["mins"])
-
-    return test
-
-
 def linked_components(
     shared: DataFrame,
     content: DataFrame,
     as_set: Callable[[Column], Column],
     threshold: float,
-    likely: Callable[[Column, Column], Column] = _always,
 ) -> DataFrame:
     """(node, component) of the items with a verified link.
 
     ``shared`` comes from ``colliding``; ``content`` is a written table of id and content for its
     items, and ``as_set`` makes a content column an array of distinct hashes. Linked are items of
-    a Jaccard similarity of at least ``threshold``; pairs of contents that aren't ``likely`` are
-    not compared.
+    a Jaccard similarity of at least ``threshold``.
     """
-    match = _Match(as_set, threshold, likely)
+    match = _Match(as_set, threshold)
     star = shared.where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
     links = materialize(_pivot_links(star, content, match), "star-links")
     components = connected_components(links, "a", "b")
@@ -130,7 +118,6 @@ def linked_components(
 class _Match(NamedTuple):
     as_set: Callable[[Column], Column]
     threshold: float
-    likely: Callable[[Column, Column], Column]
 
 
 def _pivot_links(pairs: DataFrame, content: DataFrame, match: _Match) -> DataFrame:
@@ -143,8 +130,7 @@ def _pivot_links(pairs: DataFrame, content: DataFrame, match: _Match) -> DataFra
     rows = grouped.join(content.toDF("pivot", "own"), "pivot")
 
     def near(own: Column) -> Column:
-        likely = F.filter(F.col("items"), lambda y: match.likely(F.col("own"), y["content"]))
-        return F.filter(likely, lambda y: similar(own, match.as_set(y["content"]), match.threshold))
+        return F.filter(F.col("items"), lambda y: similar(own, match.as_set(y["content"]), match.threshold))
 
     linked = F.flatten(F.transform(F.array(match.as_set(F.col("own"))), near))
     found = rows.select(F.col("pivot").alias("a"), F.explode_outer(F.transform(linked, lambda y: y["id"])).alias("b"))
@@ -163,12 +149,17 @@ def _block_links(left: DataFrame, content: DataFrame, match: _Match) -> DataFram
     some = placed.where("outside").groupBy("bucket", "block").agg(F.collect_list("item").alias("outsiders"))
     rows = some.drop("block").join(every.drop("block"), "bucket")
 
-    def links_of(x: Column) -> Column:
+    def with_set(y: Column) -> Column:
+        return F.struct(*(y[c].alias(c) for c in ("id", "component", "buckets")), match.as_set(y["content"]).alias("set"))
+
+    def links_of(x: Column, items: Column) -> Column:
         # cheap tests first; each pair only in the first bucket that both are in
-        some = F.filter(F.col("items"), lambda y: (x["component"] != y["component"]) & match.likely(x["content"], y["content"]))
+        some = F.filter(items, lambda y: x["component"] != y["component"])
         here = F.filter(some, lambda y: F.array_min(F.array_intersect(x["buckets"], y["buckets"])) == F.col("bucket"))
-        near = F.filter(here, lambda y: similar(match.as_set(x["content"]), match.as_set(y["content"]), match.threshold))
+        near = F.filter(here, lambda y: similar(x["set"], y["set"], match.threshold))
         return F.transform(near, lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
 
-    links = F.flatten(F.transform("outsiders", links_of))
+    # bound by a lambda, so that each item's set is made once in a row
+    both = F.array(F.struct(F.transform("outsiders", with_set).alias("some"), F.transform("items", with_set).alias("every")))
+    links = F.flatten(F.flatten(F.transform(both, lambda p: F.transform(p["some"], lambda x: links_of(x, p["every"])))))
     return rows.select(F.explode_outer(links).alias("link")).where(F.col("link").isNotNull()).select("link.a", "link.b").distinct()
