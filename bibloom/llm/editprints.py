@@ -299,15 +299,21 @@ def against_edited(df: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 # ---- near copies
 
 
+#: Of two texts at a likeness of 0.8 the longer keeps at most so many times the steps of the other.
+_STRETCH = 1.25
+
+
 def band_keys(symbols: bytes, level: int, bands: int, width: int) -> list[int]:
-    """Hashes of ``bands`` samples of ``width`` of the steps kept at a level."""
-    choose = np.random.default_rng(level)
+    """Hashes of ``bands`` samples of ``width`` of the steps kept at a level, drawn over all steps
+    of the text's length class, and as many over those of the next class."""
     out = []
-    for b in range(bands):
-        places = choose.integers(0, SAMPLE // 4, width)  # a text keeps about as many at least, one level up
-        values = bytes(symbols[p] if p < len(symbols) else 0 for p in places.tolist())
-        digest = hashlib.blake2b(bytes([level, b]) + values, digest_size=8).digest()
-        out.append(int.from_bytes(digest, "little", signed=True))
+    own = int(np.log(max(len(symbols), 1)) / np.log(_STRETCH))
+    for size in (own, own + 1):
+        drawn = np.random.default_rng((level, size)).integers(0, int(np.ceil(_STRETCH ** (size + 1))), (bands, width))
+        for b, places in enumerate(drawn.tolist()):
+            values = bytes(symbols[p] if p < len(symbols) else 0 for p in places)
+            digest = hashlib.blake2b(bytes([level, size, b]) + values, digest_size=8).digest()
+            out.append(int.from_bytes(digest, "little", signed=True))
     return out
 
 
