@@ -17,19 +17,24 @@ from pyspark.sql.window import Window
 #: Rows of a record batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
-#: An intermediate table gets a few files for each core of the cluster, and at least one for so
-#: many shuffle partitions.
-FILES_PER_CORE = 4
-PARTITIONS_PER_FILE = 8
+#: Keys of a side of a join that is broadcast, 16 bytes or so each; a larger side is shuffled.
+BROADCAST_KEYS = 1_000_000
+
+#: Up to so many rows steps of one job stay together; beyond, what is joined is written first.
+LIGHT_ROWS = 100_000
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition index above, row of the partition below
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a temporary
+    folder if driver and executors are one process, else one in the warehouse, which they share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = f"file://{tempfile.mkdtemp(prefix='bibloom-')}"
+        if spark.sparkContext.master.startswith(("local[", "local")) and "cluster" not in spark.sparkContext.master:
+            folder = f"file://{tempfile.mkdtemp(prefix='bibloom-')}"
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/bibloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -38,27 +43,41 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The table cuts the lineage, survives the loss of executors and fixes the rows of anything
-    that is not deterministic. It gets fewer files than partitions made it: each task works
-    through some partitions one after another.
+    that is not deterministic. Its number of files follows the partitions, which adaptive
+    execution sizes by the data.
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, partitions // PARTITIONS_PER_FILE, 1))
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    jvm = spark._jvm
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        if folder.removeprefix("file://") in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = shared_folder(spark)
+        jvm = spark._jvm
+        parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for parent in parents:
+            if folder.removeprefix("file://") in parent:
+                path = jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(rows: int) -> Callable[[DataFrame, str], DataFrame]:
+    """How the result of an aggregation is held for a join with what it was made of: written, so
+    that the join has exchanges of its own and Spark can split a hot key there; of few rows, where
+    one key is a small task in any case, left within one job."""
+    return materialize if rows > LIGHT_ROWS else lambda df, name: df
+
+
+def bounded(side: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The side of a join, as a broadcast if it has few enough keys, else as it is; for written
+    tables. ``weight``: keys in a row, where they aren't one."""
+    if not side.inputFiles():
+        return side  # not a written table: adaptive execution decides by what comes out
+    size = side.count() if weight is None else side.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(side) if size <= BROADCAST_KEYS else side
 
 
 def with_positions(df: DataFrame, groups: list[str], order: list[Column], position: str, size: str) -> DataFrame:

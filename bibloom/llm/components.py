@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import discard, materialize
+from bibloom.llm.common import discard, materialize, settled
 
 #: A safety stop; the number of rounds grows with the logarithm of the longest path.
 MAX_ROUNDS = 60
 
 
-def _star(links: DataFrame, both_ways: bool) -> DataFrame:
+def _star(links: DataFrame, both_ways: bool, hold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """One step on links (u > v): join the neighbours of each node to the least of them.
 
     ``both_ways``: of all neighbours, the greater ones are joined to the least (large star);
     else, of the lesser neighbours, all and the node itself are (small star). The least comes
-    from an aggregation, which combines before the shuffle, so hubs are no single group.
+    from an aggregation, which combines before the shuffle; of many links it is written before
+    it is joined: the links of a hub then meet it in a join with exchanges of its own, which
+    Spark splits.
     """
     if both_ways:
         near = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = hold(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         moved = near.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = hold(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    return hold(moved.where(F.col("u") != F.col("v")).distinct(), "links")
 
 
 def _state(links: DataFrame) -> tuple:
@@ -49,7 +53,10 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        after = materialize(_star(_star(now, True), False), "links")
+        hold = settled(state[0])
+        large = _star(now, True, hold)
+        after = _star(large, False, hold)
+        after = after if hold is materialize else materialize(after, "links")
         discard(now)
         now, before, state = after, state, _state(after)
         if state == before:

@@ -1,11 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines are one item. An item's character shingles are hashed once; under each of a number
-of seeds the least hash, compared after an exclusive or with the seed, is one MinHash value (the
-seeds differ in their top bits, so each looks at another part of the range). Values are banded
-for high recall, items that share a band are verified by exact Jaccard similarity of their
-character shingles, and of each component one line is kept: the first in order of document and
-place.
+Equal lines are one item. An item's character shingles are all hashed once; under each of a
+number of seeds the least hash, compared after an exclusive or with the seed, is one MinHash
+value (the seeds differ in their top bits, so each looks at another part of the range). Values
+are banded for high recall, items that share a band are verified by exact Jaccard similarity of
+their character shingles, components are found by a distributed union-find, and of each component
+one line is kept: the first in order of document and place.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import materialize
-from bibloom.llm.linking import bounded, colliding, linked_components
+from bibloom.llm.common import bounded, discard, materialize
+from bibloom.llm.linking import colliding, linked_components
 
 #: Characters of a shingle: one changed character breaks so many of a line's.
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 12
-ROWS = 4  # a pair at 0.8 meets in some band with probability 1 - (1 - 0.8**4)**12 = 0.998, of few shingles somewhat less
-#: Removed places are broadcast up to this number (some 50 MB as a table), else shuffled.
-BROADCAST_PLACES = 1_000_000
+#: MinHash values, and bands of so many of them. Each value is in two bands. Unrelated lines share
+#: one or two of a hundred shingles of five characters, so fewer rows would collide in masses; a
+#: pair at 0.8 meets in some band with probability 0.99.
+VALUES = 40
+BANDS = 16
+ROWS = 5
+#: Shingles of a row while they are hashed.
+_STEP = 4
 
 
 def seeds(count: int, bits: int = 64) -> list[int]:
@@ -36,10 +40,24 @@ def seeds(count: int, bits: int = 64) -> list[int]:
     return out
 
 
+def band_places(values: int, bands: int, rows: int) -> list[list[int]]:
+    """The values of each band: first runs of neighbours, then one value of every run."""
+    runs = values // rows
+    straight = [[b * rows + r for r in range(rows)] for b in range(runs)]
+    across = [[r * runs + b for r in range(rows)] for b in range(runs)]
+    if bands > 2 * runs:
+        raise ValueError(f"{values} values make no more than {2 * runs} bands of {rows}")
+    return [*straight, *across][:bands]
+
+
 def lines_of(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, place, line, line_id) of every line that isn't blank; place counts from 0."""
-    lines = df.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    return lines.where(F.trim("line") != "").withColumn("line_id", F.xxhash64("line"))
+    """(doc, version, place, line, line_id) of every line that isn't blank; place counts from 0.
+
+    ``version``, a hash of the text, tells rows that share an id apart where their texts differ.
+    Lines are equal if their 128-bit line_id is.
+    """
+    lines = df.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    return lines.where(F.trim("line") != "").withColumn("line_id", F.unhex(F.md5("line")))
 
 
 def _wide(line: Column) -> Column:
@@ -51,23 +69,28 @@ def _shingle_hash(wide: Column, at: Column, shingle: int) -> Column:
     return F.xxhash64(F.substring(wide, 2 * at + 1, F.lit(2 * shingle)))
 
 
-def signatures(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, keys): the buckets of each distinct line of at least ``shingle`` characters.
+def signatures(lines: DataFrame, shingle: int = SHINGLE, values: int = VALUES, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(line_id, keys): the buckets of each distinct line of at least ``shingle`` characters.
 
     Explosion, hashing and the minima run as one generated loop that combines before the
-    shuffle; minima are taken over 32 bits to halve what is shuffled.
+    shuffle, a few shingles at a time; minima are taken over 32 bits to halve what is shuffled.
     """
     wide = lines.select("line_id", _wide(F.col("line")).alias("wide")).where(F.octet_length("wide") >= 2 * shingle)
-    places = F.sequence(F.lit(0), (F.octet_length("wide") / 2).cast("int") - shingle)
-    hashed = wide.select("line_id", "wide", F.explode_outer(places).alias("at"))
-    # an expression that isn't deterministic keeps the hash from being computed for each minimum
-    once = F.when(F.spark_partition_id() >= 0, F.shiftright(_shingle_hash(F.col("wide"), F.col("at"), shingle), 32).cast("int"))
-    hashed = hashed.select("line_id", once.alias("h"))
-    least = hashed.groupBy("line_id").agg(
-        *(F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds(bands * rows, 32)))
-    )
-    keys = [F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(bands)]
-    return least.select(F.col("line_id").alias("id"), F.array(*keys).alias("keys"))
+    wide = wide.withColumn("last", (F.octet_length("wide") / 2).cast("int") - shingle)
+    placed = wide.select("line_id", "wide", "last", F.explode_outer(F.sequence(F.lit(0), F.col("last"), F.lit(_STEP))).alias("at"))
+
+    def hashed(step: int) -> Column:
+        # past the end the last shingle comes again, which changes no minimum
+        at = F.least(F.col("at") + step, F.col("last")) if step else F.col("at")
+        h = F.shiftright(_shingle_hash(F.col("wide"), at, shingle), 32).cast("int")
+        # an expression that isn't deterministic keeps the hash from being computed for each minimum
+        return F.when(F.spark_partition_id() >= 0, h).otherwise(F.lit(0)).alias(f"h{step}")
+
+    hashes = placed.select("line_id", *(hashed(k) for k in range(_STEP)))
+    least = [F.min(F.least(*(F.col(f"h{k}").bitwiseXOR(F.lit(s)) for k in range(_STEP)))).alias(f"m{n}") for n, s in enumerate(seeds(values, 32))]
+    mins = hashes.groupBy("line_id").agg(*least)
+    keys = [F.xxhash64(F.lit(b), *(f"m{n}" for n in places)) for b, places in enumerate(band_places(values, bands, rows))]
+    return mins.select("line_id", F.array(*keys).alias("keys"))
 
 
 def shingle_set(line: Column, shingle: int) -> Column:
@@ -80,16 +103,24 @@ def shingle_set(line: Column, shingle: int) -> Column:
     return F.flatten(F.transform(F.array(_wide(line)), hashes))
 
 
-def line_components(lines: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(line_id, component) of the lines that have a similar, not equal, one."""
-    signed = materialize(signatures(lines, shingle, bands, rows), "signatures")
+def line_components(
+    lines: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, values: int = VALUES, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """(line_id, component) of the lines that have a similar, not equal, one; component is the
+    line_id of one of them."""
+    signed = signatures(lines, shingle, values, bands, rows).withColumn("id", F.monotonically_increasing_id())
+    signed = materialize(signed, "signatures")
     shared = colliding(signed)
-    wanted = materialize(shared.select(F.col("id").alias("line_id")).distinct(), "colliding-lines")
-    texts = lines.select("line_id", "line").join(bounded(wanted), "line_id", "left_semi")
-    texts = texts.groupBy("line_id").agg(F.first("line").alias("line"))
-    content = texts.select(F.col("line_id").alias("id"), F.col("line").alias("content"))
-    found = linked_components(shared, materialize(content, "line-texts"), lambda c: shingle_set(c, shingle), threshold)
-    return found.withColumnRenamed("node", "line_id")
+    names = signed.select("id", "line_id")
+    wanted = names.join(bounded(materialize(shared.select("id").distinct(), "colliding-ids")), "id", "left_semi")
+    wanted = materialize(wanted, "colliding-lines")
+    discard(signed)
+    texts = lines.select("line_id", "line").join(bounded(wanted), "line_id").groupBy("id").agg(F.first("line").alias("content"))
+    content = materialize(texts, "line-texts")
+    found = linked_components(shared, content, lambda c: shingle_set(c, shingle), threshold)
+    heads = wanted.select(F.col("id").alias("component"), F.col("line_id").alias("head"))
+    named = found.join(bounded(wanted), F.col("node") == F.col("id")).join(heads, "component")
+    return named.select("line_id", F.col("head").alias("component"))
 
 
 def dedup(
@@ -98,49 +129,54 @@ def dedup(
     text: str = "text",
     shingle: int = SHINGLE,
     threshold: float = THRESHOLD,
+    values: int = VALUES,
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
     """Every row with its lines that were first of their component, and what was removed:
     all columns of ``df`` with the new text, n_lines, n_removed.
 
-    A line is removed if an earlier one (by id, then place) is equal to it or in its component.
-    Blank lines stay. Lines shorter than a shingle are compared for equality alone. A null text
-    stays null, an empty one empty, with no lines. Rows that repeat an id count as one document
-    and are treated alike; in rows with a null id every line stays. Texts of any length are
-    taken whole; an empty table gives an empty result.
+    A line is removed if an earlier one (by id, then text for rows that share an id, then place)
+    is equal to it or in its component. Blank lines stay. Lines shorter than a shingle are
+    compared for equality alone. A null text stays null, an empty one empty, with no lines. Rows
+    that repeat an id and the text count as one document and are treated alike; rows that share
+    an id and differ in text are documents of their own. In rows with a null id every line stays.
+    Columns of any names are kept, but for n_lines and n_removed, which are replaced. Texts of
+    any length are taken whole; an empty table gives an empty result.
     """
     lines = lines_of(df.where(F.col(id_col).isNotNull()), id_col, text)
-    components = materialize(line_components(lines, shingle, threshold, bands, rows), "line-components")
-    places = repeated_places(materialize(lines.select("doc", "place", "line_id"), "lines"), components, "line_id")
-    gone = places.where(~F.col("kept")).select("doc", "place")
-    return without_lines(df, gone, id_col, text)
+    components = materialize(line_components(lines, shingle, threshold, values, bands, rows), "line-components")
+    places = materialize(lines.select("doc", "version", "place", "line_id"), "lines")
+    return without_lines(df, repeats(places, components), id_col, text)
 
 
-def repeated_places(lines: DataFrame, components: DataFrame, key: str) -> DataFrame:
-    """(component, doc, place, first, kept) of every place whose line occurs again or is similar
-    to another; ``lines``, a written table, has doc, place and the line's ``key``,
-    ``components`` key and component. ``first`` is the struct (doc, place) of the component's first place."""
-    counts = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(components, key, "left")
-    groups = counts.where((F.col("n") > 1) | F.col("component").isNotNull())
-    groups = groups.select(key, F.coalesce("component", key).alias("component"))
-    places = lines.select(key, "doc", "place").join(groups, key).select("component", "doc", "place")
-    places = materialize(places, "places")
-    first = places.groupBy("component").agg(F.min(F.struct("doc", "place")).alias("first"))
-    return places.join(first, "component").withColumn("kept", F.struct("doc", "place") == F.col("first"))
+def repeats(lines: DataFrame, components: DataFrame) -> DataFrame:
+    """(doc, version, place) of every place but the first of lines that occur again or are
+    similar to another; ``lines``, a written table, has doc, version, place and line_id."""
+    counts = lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.join(bounded(components), "line_id", "left").where((F.col("n") > 1) | F.col("component").isNotNull())
+    groups = materialize(groups.select("line_id", F.coalesce("component", "line_id").alias("component")), "repeated-lines")
+    places = materialize(lines.join(bounded(groups), "line_id").select("component", "doc", "version", "place"), "places")
+    first = materialize(places.groupBy("component").agg(F.min(F.struct("doc", "version", "place")).alias("first")), "first-places")
+    found = places.join(bounded(first), "component").where(F.struct("doc", "version", "place") != F.col("first"))
+    return found.select("doc", "version", "place")
 
 
 def without_lines(df: DataFrame, gone: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The rows of ``df`` without the lines at (doc, place), with n_lines and n_removed."""
+    """The rows of ``df`` without the lines at (doc, version, place), with n_lines and n_removed."""
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    gone = materialize(gone.distinct(), "removed-places")
-    by_doc = gone.groupBy("doc").agg(F.collect_list("place").alias("_gone")).withColumnRenamed("doc", "_doc")
-    if gone.count() <= BROADCAST_PLACES:
-        by_doc = F.broadcast(by_doc)
-    joined = df.select(*keep).join(by_doc, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
+    by_doc = gone.groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_set("place").alias("_gone"))
+    by_doc = materialize(by_doc, "removed-places")
+    own = (F.col(id_col) == F.col("_doc")) & (F.xxhash64(text) == F.col("_version"))
+    joined = df.select(*keep).join(bounded(by_doc, F.size("_gone") + 2), own, "left").drop("_doc", "_version")
+
+    def left(parts: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+        return F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
+
+    # the lines are bound by a lambda, so that a text is split once
     split = F.split(text, "\n")
-    left = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)
+    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.get(F.transform(F.array(split), left), 0))
     blank = F.size(F.filter(split, lambda line: F.trim(line) == ""))
     return joined.select(
         *(new.alias(c) if c == text else F.col(c) for c in keep),

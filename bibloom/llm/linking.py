@@ -1,12 +1,15 @@
 """Verified links between items that share a bucket, without forming all pairs of a bucket.
 
 Each bucket's items are first compared with one pivot. Where that leaves several components in a
-bucket, the items outside its largest one are compared with further pivots taken from it. What is
-still apart then is compared in full, in blocks: a block of outsiders with each block of the
-bucket, inside one row, so that neither the number of rows nor the memory of a task grows with
-the pairs. So a bucket of any number of copies costs about its own size, and yet no two items
-that share a bucket and belong together stay apart: they are in one component already, or they
-are compared.
+bucket, the items outside its largest one are compared with a few members of it. What is still
+apart then is compared in full, in blocks: a block of outsiders with a block of the bucket is one
+row, dealt out by bucket and both blocks, so that neither the rows nor the memory of a task grow
+with the pairs. So a bucket of any number of copies costs about its own size, and yet no two
+items that share a bucket and belong together stay apart: they are in one component already, or
+they are compared, and compared exactly.
+
+Sides of joins that come from an aggregation are written first: a join that shares its exchange
+with an aggregation can't be split where a key is hot, one with exchanges of its own is.
 """
 
 from __future__ import annotations
@@ -17,9 +20,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import materialize
+from bibloom.llm.common import bounded, discard, materialize, settled
 from bibloom.llm.components import connected_components
 
+#: Members of a bucket's largest component that its outsiders are compared with.
+MORE_PIVOTS = 3
+#: Items of a block, on average.
+BLOCK_ITEMS = 32
+
 
 def similar(a: Column, b: Column, threshold: float) -> Column:
     """Whether two arrays of distinct values have at least this Jaccard similarity.
@@ -38,93 +46,100 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
     return F.exists(F.array(F.struct(a.alias("a"), b.alias("b"))), enough)
 
 
-#: Further pivots that outsiders of a bucket are compared with before the comparison in full.
-MORE_PIVOTS = 1
-#: Items of a block, on average.
-BLOCK_ITEMS = 32
-#: Keys are broadcast up to this number (8 bytes each, some 50 MB as a table), else shuffled.
-BROADCAST_KEYS = 1_000_000
-
-
-def bounded(keys: DataFrame) -> DataFrame:
-    """The side of a join, as a broadcast if it is small enough; for written tables."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def colliding(signed: DataFrame) -> DataFrame:
-    """(bucket, id, pivot): items of buckets with more than one, and one item of the bucket.
+    """(bucket, id): the items of buckets with more than one.
 
     ``signed`` is a written table with one row for each item: id and keys, an array of its
     buckets. Most buckets have one item; they are dropped by a count of the bare keys.
     """
-    buckets = signed.select("id", F.explode_outer("keys").alias("bucket"))
+    buckets = signed.select("id", F.explode("keys").alias("bucket"))
     repeated = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
     repeated = materialize(repeated, "repeated-buckets")
     shared = materialize(buckets.join(bounded(repeated), "bucket").distinct(), "shared-buckets")
-    pivots = shared.groupBy("bucket").agg(F.min("id").alias("pivot"))
-    return materialize(shared.join(pivots, "bucket"), "colliding")
+    discard(repeated)
+    return shared
 
 
 def _pivots(members: DataFrame, name: str, salt: int) -> DataFrame:
     """(bucket, name): an item of each bucket, another one for another bucket or salt."""
     mask = F.xxhash64("bucket", F.lit(salt))
-    # with ids that are hashes, the least one after an exclusive or is as good as drawn
+    # the least after an exclusive or with a hash is as good as drawn
     return members.groupBy("bucket", mask.alias("mask")).agg(F.min(F.col("id").bitwiseXOR(mask)).alias("m")).select("bucket", F.col("m").bitwiseXOR(F.col("mask")).alias(name))
 
 
 def _open(shared: DataFrame, components: DataFrame) -> DataFrame:
-    """(bucket, id, component, outside) of the buckets that hold several components; outside: not
-    in the largest."""
-    grouped = shared.select("bucket", "id").join(components.withColumnRenamed("node", "id"), "id", "left")
+    """(bucket, id, component, outside) of the buckets of three or more items, in several
+    components; outside: not in the largest. In a bucket of two the pivot has met the other."""
+    grouped = shared.select("bucket", "id").join(bounded(components.withColumnRenamed("node", "id")), "id", "left")
     grouped = materialize(grouped.withColumn("component", F.coalesce("component", "id")), "grouped")
-    sizes = grouped.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-    mixed = mixed.where(F.col("parts") > 1).select("bucket", "largest")
-    found = grouped.join(mixed, "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
-    return materialize(found, "open-buckets")
-
-
-def linked_components(
-    shared: DataFrame,
-    content: DataFrame,
-    as_set: Callable[[Column], Column],
-    threshold: float,
-) -> DataFrame:
+    hold = settled(grouped.count())
+    sizes = hold(grouped.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")), "parts")
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("items"), F.count(F.lit(1)).alias("parts"))
+    mixed = hold(mixed.where((F.col("parts") > 1) & (F.col("items") > 2)).select("bucket", "largest"), "mixed-buckets")
+    found = grouped.join(bounded(mixed), "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("outside"))
+    found = materialize(found, "open-buckets")
+    discard(grouped)
+    return found
+
+
+class _Match(NamedTuple):
+    as_set: Callable[[Column], Column]
+    threshold: float
+
+
+def linked_components(shared: DataFrame, content: DataFrame, as_set: Callable[[Column], Column], threshold: float) -> DataFrame:
     """(node, component) of the items with a verified link.
 
     ``shared`` comes from ``colliding``; ``content`` is a written table of id and content for its
-    items, and ``as_set`` makes a content column an array of distinct hashes. Linked are items of
+    items, and ``as_set`` makes a content column an array of distinct values. Linked are items of
     a Jaccard similarity of at least ``threshold``.
     """
     match = _Match(as_set, threshold)
-    star = shared.where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
+    hold = settled(shared.count())
+    pivots = hold(shared.groupBy("bucket").agg(F.min("id").alias("pivot")), "pivots")
+    star = shared.join(bounded(pivots), "bucket").where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
     links = materialize(_pivot_links(star, content, match), "star-links")
-    components = connected_components(links, "a", "b")
-    for salt in range(1, MORE_PIVOTS + 1):
-        left = _open(shared, components)
-        pivots = _pivots(left.where(~F.col("outside")), "pivot", salt)
-        pairs = left.where("outside").join(pivots, "bucket").select("pivot", "id").distinct()
-        more = materialize(_pivot_links(pairs, content, match), "pivot-links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        components = connected_components(links, "a", "b")
-    more = materialize(_block_links(_open(shared, components), content, match), "block-links")
+    components = materialize(connected_components(links, "a", "b"), "components")
+    left = _open(shared, components)
+    if left.isEmpty():
+        return components
+    inside = left.where(~F.col("outside"))
+    some = _pivots(inside, "pivot", 1)
+    for salt in range(2, MORE_PIVOTS + 1):
+        some = some.unionByName(_pivots(inside, "pivot", salt))
+    some = settled(left.count())(some.distinct(), "pivots")
+    pairs = left.where("outside").join(bounded(some), "bucket").select("pivot", "id").distinct()
+    more = materialize(_pivot_links(pairs, content, match), "pivot-links")
+    discard(left)
+    components = _merged(components, more)
+    left = _open(shared, components)
+    more = materialize(_block_links(left, content, match), "block-links")
+    discard(left)
+    return _merged(components, more)
+
+
+def _merged(components: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after more links, a written table: only what these join is gone through."""
     if more.isEmpty():
         return components
-    return connected_components(links.unionByName(more), "a", "b")
-
-
-class _Match(NamedTuple):
-    as_set: Callable[[Column], Column]
-    threshold: float
+    named = more
+    for end in ("a", "b"):
+        own = components.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        named = named.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    merged = materialize(connected_components(named, "ca", "cb"), "merged")
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("head"))
+    nodes = components.unionByName(named.select(F.col("a").alias("node"), F.col("ca").alias("component"))).unionByName(named.select(F.col("b").alias("node"), F.col("cb").alias("component")))
+    found = nodes.distinct().join(bounded(merged), "component", "left").select("node", F.coalesce("head", "component").alias("component"))
+    return materialize(found, "components")
 
 
 def _pivot_links(pairs: DataFrame, content: DataFrame, match: _Match) -> DataFrame:
     """(a, b): the links between pivots and items; a block of a pivot's items is one row, so that
-    its own set is made once for all of them."""
-    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ITEMS)).alias("blocks"))
-    placed = pairs.join(blocks, "pivot").join(content.toDF("id", "content"), "id")
+    its own set is made once for all of them. Blocks are dealt out by pivot and a part of the
+    item's hash, and combine before they meet the pivot's content."""
+    pairs = materialize(pairs, "pairs")
+    counts = settled(pairs.count())(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ITEMS)).alias("blocks")), "pivot-counts")
+    placed = pairs.join(bounded(counts), "pivot").join(content.toDF("id", "content"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
     grouped = placed.groupBy("pivot", block).agg(F.collect_list(F.struct("id", "content")).alias("items"))
     rows = grouped.join(content.toDF("pivot", "own"), "pivot")
@@ -138,24 +153,30 @@ def _pivot_links(pairs: DataFrame, content: DataFrame, match: _Match) -> DataFra
 
 
 def _block_links(left: DataFrame, content: DataFrame, match: _Match) -> DataFrame:
-    """(a, b): the links between outsiders and items of other components in the same bucket."""
+    """(a, b): the links between outsiders and items of other components in the same bucket.
+
+    A pair that meets in several buckets is compared in the first. Every block of outsiders goes
+    to each block of its bucket by a key of its own.
+    """
     buckets = left.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # a few for each item
-    wanted = buckets.join(content.toDF("id", "content"), "id")
-    members = left.join(wanted, "id").withColumn("item", F.struct("id", "component", "buckets", "content"))
-    counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(BLOCK_ITEMS))).cast("int").alias("block")
-    placed = members.join(counts, "bucket").select("bucket", block, "outside", "item")
-    every = placed.groupBy("bucket", "block").agg(F.collect_list("item").alias("items"))
-    some = placed.where("outside").groupBy("bucket", "block").agg(F.collect_list("item").alias("outsiders"))
-    rows = some.drop("block").join(every.drop("block"), "bucket")
+    counts = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ITEMS)).cast("int").alias("blocks"))
+    counts = settled(left.count())(counts, "bucket-counts")
+    members = left.join(bounded(counts), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = materialize(members.join(buckets, "id").join(content.toDF("id", "content"), "id"), "block-items")
+    item = F.struct("id", "component", "buckets", "content")
+    every = members.groupBy("bucket", "block").agg(F.collect_list(item).alias("items"))
+    some = members.where("outside").groupBy("bucket", "block", "blocks").agg(F.collect_list(item).alias("outsiders"))
+    meeting = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    some = some.select("bucket", F.col("block").alias("from"), "outsiders", meeting)
+    rows = some.join(every, ["bucket", "block"]).repartition("bucket", "from", "block")
 
     def with_set(y: Column) -> Column:
         return F.struct(*(y[c].alias(c) for c in ("id", "component", "buckets")), match.as_set(y["content"]).alias("set"))
 
     def links_of(x: Column, items: Column) -> Column:
         # cheap tests first; each pair only in the first bucket that both are in
-        some = F.filter(items, lambda y: x["component"] != y["component"])
-        here = F.filter(some, lambda y: F.array_min(F.array_intersect(x["buckets"], y["buckets"])) == F.col("bucket"))
+        others = F.filter(items, lambda y: x["component"] != y["component"])
+        here = F.filter(others, lambda y: F.array_min(F.array_intersect(x["buckets"], y["buckets"])) == F.col("bucket"))
         near = F.filter(here, lambda y: similar(x["set"], y["set"], match.threshold))
         return F.transform(near, lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
 
