@@ -137,5 +137,11 @@ def map_batches(
     return df.mapInArrow(run, out)
 
 
+def once(x: Column, never: int = 0) -> Column:
+    """The same values, computed in one place: Catalyst doesn't put an expression that isn't
+    deterministic in the place of its mentions. ``never`` doesn't occur; it tells that nulls don't."""
+    return F.when(F.spark_partition_id() >= 0, x).otherwise(F.lit(never))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

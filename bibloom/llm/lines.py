@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import bounded, discard, materialize
-from bibloom.llm.linking import colliding, linked_components
+from bibloom.llm.common import bounded, discard, materialize, once
+from bibloom.llm.linking import Match, colliding, linked_components
 
 #: Characters of a shingle: one changed character breaks so many of a line's.
 SHINGLE = 5
@@ -83,8 +83,7 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, values: int = VALUES, b
         # past the end the last shingle comes again, which changes no minimum
         at = F.least(F.col("at") + step, F.col("last")) if step else F.col("at")
         h = F.shiftright(_shingle_hash(F.col("wide"), at, shingle), 32).cast("int")
-        # an expression that isn't deterministic keeps the hash from being computed for each minimum
-        return F.when(F.spark_partition_id() >= 0, h).otherwise(F.lit(0)).alias(f"h{step}")
+        return once(h, 0).alias(f"h{step}")
 
     hashes = placed.select("line_id", *(hashed(k) for k in range(_STEP)))
     least = [F.min(F.least(*(F.col(f"h{k}").bitwiseXOR(F.lit(s)) for k in range(_STEP)))).alias(f"m{n}") for n, s in enumerate(seeds(values, 32))]
@@ -117,7 +116,9 @@ def line_components(
     discard(signed)
     texts = lines.select("line_id", "line").join(bounded(wanted), "line_id").groupBy("id").agg(F.first("line").alias("content"))
     content = materialize(texts, "line-texts")
-    found = linked_components(shared, content, lambda c: shingle_set(c, shingle), threshold)
+    match = Match(lambda c: shingle_set(c, shingle), threshold)
+    found = linked_components(shared, content, match)
+    discard(shared, content)
     heads = wanted.select(F.col("id").alias("component"), F.col("line_id").alias("head"))
     named = found.join(bounded(wanted), F.col("node") == F.col("id")).join(heads, "component")
     return named.select("line_id", F.col("head").alias("component"))
