@@ -48,7 +48,7 @@ def date_marc_to_iso(v: Column) -> Column:
     """ISO dates stay, YYYYMMDD and YYYY (then 1 January) are converted."""
     s = strip(v)
     return (
-        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s)
+        F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s)
         .when(s.rlike(r"^\d{8}"), date_ymd_to_iso(s))
         .when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01-01")))
         .otherwise(v)

@@ -25,8 +25,9 @@ ALIASES = {
 
 
 def by_alias(rows: DataFrame, roles: Sequence[str] = tuple(ALIASES)) -> DataFrame:
-    """Columns renamed to the roles they have, whatever their case; others keep their names."""
-    lower = {c.lower(): c for c in rows.columns}
+    """Columns renamed to the roles they have, whatever their case and outer spaces; others keep
+    their names."""
+    lower = {c.strip().lower(): c for c in rows.columns}
     names = {}
     for role in roles:
         found = next((lower[a] for a in ALIASES[role] if a in lower), None)
@@ -196,15 +197,22 @@ def circulation_script(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("resolved"), good).otherwise(F.concat(F.lit("-- SKIPPED "), F.concat_ws(" ", "patron", "item"))).alias("line"))
 
 
-#: Table, columns and lengths of the inserted values of each controlled header (fixed values).
-VALUE_TABLES = {"categorycode": ("categories", "categorycode", 10, "description", 100), "branchcode": ("branches", "branchcode", 10, "branchname", 100)}
+#: Table and columns of the inserted values of each controlled header; a column takes so many
+#: characters of the value, or what stands there (fixed values).
+VALUE_TABLES = {
+    "categorycode": ("categories", {"categorycode": 10, "description": 100, "category_type": "'A'", "enrolmentperiod": "99"}),
+    "branchcode": ("branches", {"branchcode": 10, "branchname": 100}),
+    "title": ("authorised_values", {"category": "'BOR_TITLES'", "authorised_value": 80, "lib": 200}),
+    "lost": ("authorised_values", {"category": "'LOST'", "authorised_value": 80, "lib": 200}),
+}
 
 
 def value_script(counts: DataFrame) -> DataFrame:
     """(header, value, line): INSERT IGNORE for controlled values, with their counts."""
     out = F.lit(None).cast("string")
-    quoted = lambda n: F.concat(F.lit("'"), text.sql_escape(F.substring("value", 1, n)), F.lit("'"))
-    for header, (name, code, code_length, label, label_length) in VALUE_TABLES.items():
-        line = F.concat(F.lit(f"INSERT IGNORE INTO {name} ({code}, {label}) VALUES ("), quoted(code_length), F.lit(", "), quoted(label_length), F.lit("); -- "), F.col("n").cast("string"))
+    cell = lambda x: F.concat(F.lit("'"), text.sql_escape(F.substring(text.strip(F.col("value")), 1, x)), F.lit("'")) if isinstance(x, int) else F.lit(x)
+    for header, (name, cells) in VALUE_TABLES.items():
+        values = F.concat_ws(", ", *(cell(x) for x in cells.values()))
+        line = F.concat(F.lit(f"INSERT IGNORE INTO {name} ({', '.join(cells)}) VALUES ("), values, F.lit("); -- "), F.col("n").cast("string"))
         out = F.when(F.col("header") == header, line).otherwise(out)
     return counts.select("header", "value", out.alias("line")).where(F.col("line").isNotNull())

@@ -266,7 +266,24 @@ def diff_bib_counts(spark, sf):
     return tables.change_counts(bibs(spark, sf).select(key), _edited(spark, sf).select(key), "id")
 
 
-@register("diff_bib_changes")
+_TAGS = "'001', '008', '020', '035', '082', case when {s}.f100a is not null then '100' end, case when {s}.f245a is not null then '245' end, '300', case when {s}.f500a is not null then '500' end, '650', '942'"
+_DIFFERS = ", ".join(
+    f"case when {' or '.join(f'o.{c} is distinct from n.{d}' for c, d in pairs)} then '{tag}' end"
+    for tag, pairs in {
+        "008": [("f008", "f008")], "020": [("f020a", "f020a")], "035": [("f035a", "f035a")], "082": [("f082a", "f082a")], "100": [("f100a", "f100a")],
+        "245": [("f245a", "f245a"), ("case when o.f245a is not null then o.p_type end", "case when n.f245a is not null then n.p_type end"), ("case when o.f245a is not null then o.i245 end", "case when n.f245a is not null then n.i245 end")],
+        "300": [("f300a", "f300a")], "500": [("f500a", "f500a")], "650": [("p_brand", "p_brand"), ("p_type", "p_type")], "942": [("p_type", "c")],
+    }.items()
+).replace("o.case", "case").replace("n.case", "case")
+
+
+@register(
+    "diff_bib_changes",
+    _STATES + ", ob as (select * from b qualify row_number() over (partition by f001 order by k desc) = 1), nb as (select * from later qualify row_number() over (partition by f001 order by k desc) = 1), "
+    f"d as (select coalesce(o.f001, n.f001) as marc_001, case when o.f001 is null then 'added' when n.f001 is null then 'removed' else 'changed' end as change, "
+    f"case when o.f001 is null then concat_ws(',', {_TAGS.format(s='n')}) when n.f001 is null then concat_ws(',', {_TAGS.format(s='o')}) else concat_ws(',', {_DIFFERS}) end as tags from ob o full join nb n on o.f001 = n.f001) "
+    "select * from d where change <> 'changed' or tags <> ''",
+)
 def diff_bib_changes(spark, sf):
     return tables.record_changes(bibs(spark, sf), _edited(spark, sf))
 
@@ -544,7 +561,7 @@ register(
 register("normalize_text", _VALUE.format(v="'cafe ' || lower(regexp_replace(p_name, '[^a-zA-Z0-9_ ]', '', 'g'))"))(_converted("concat(' Café:  ', p_name)", text.normalize_text))
 
 
-@register("title_case")
+@register("title_case", r"with d as (select * from documents) select doc_id, array_to_string(list_transform(regexp_extract_all(text, '\p{L}+|[^\p{L}]+'), lambda x: case when substr(x, 1, 1) = 'ß' then 'Ss' else upper(substr(x, 1, 1)) end || lower(substr(x, 2))), '') as value from d")
 def title_case(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", text.case_title(F.col("text")).alias("value"))
@@ -618,7 +635,7 @@ def circ_sql(spark, sf):
 
 @register(
     "patron_values_sql",
-    f"with p as ({PATRON_SQL}) select 'categorycode' as header, categorycode as value, 'INSERT IGNORE INTO categories (categorycode, description) VALUES (''' || left(categorycode, 10) || ''', ''' || categorycode || '''); -- ' || count(*) as line from p group by 2",
+    f"with p as ({PATRON_SQL}) select 'categorycode' as header, categorycode as value, 'INSERT IGNORE INTO categories (categorycode, description, category_type, enrolmentperiod) VALUES (''' || left(categorycode, 10) || ''', ''' || categorycode || ''', ''A'', 99); -- ' || count(*) as line from p group by 2",
 )
 def patron_values_sql(spark, sf):
     return tables.value_script(profile.column_scan(adapters.patrons(spark, sf), ["categorycode"]))
@@ -631,7 +648,11 @@ def sql_insert_parse(spark, sf):
     return tabular.control_values(n.select(line.alias("value")))
 
 
-@register("search_topk")
+@register(
+    "search_topk",
+    f"with bib as ({BIB_SQL}), t as (select k, f001, f245a is not null as titled, case when p_type = 'PROMO' then 1 else 0 end as p, case when f245a is not null and list_contains(string_split_regex(lower(f245a), '[^a-z0-9]+'), 'green') then 1 else 0 end as g from bib), "
+    "s as (select k as record_index, f001 as marc_001, cast(3 * (g + case when titled then p else 0 end) + g + p as int) as score from t) select * from s where score > 0 order by score desc, record_index limit 20",
+)
 def search_topk(spark, sf):
     docs = search.documents(bibs(spark, sf))
     return search.search(docs, ["green", "promo"], 20).select("record_index", "marc_001", "score")

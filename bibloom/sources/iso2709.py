@@ -27,7 +27,7 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
     splits = rows.groupBy("file_id", "start").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
     before = Window.orderBy("file_id", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
     offsets = splits.select("file_id", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    joined = rows.join(F.broadcast(offsets), ["file_id", "start"])
+    joined = rows.join(offsets, ["file_id", "start"])  # a row for each split; Spark broadcasts it where it is small
     return joined.select("file_id", (F.col("_id") + F.col("shift")).alias("record_index"), F.regexp_replace("value", r"^[\r\n]+", "").alias("raw"))
 
 
@@ -55,8 +55,8 @@ def decode(raw: DataFrame) -> DataFrame:
 
     def field(d: Column) -> Column:
         body = F.substring(F.col("b"), F.col("base") + d["at"] + 1, d["size"] - 1)
-        parts = F.split(F.make_valid_utf8(F.substring(body, 3, 1 << 20).cast("string")), "\x1f")
-        subs = F.transform(F.slice(parts, 2, 1 << 20), lambda p: F.struct(F.substring(p, 1, 1).alias("code"), F.regexp_replace(F.substring(p, 2, 1 << 20), _CONTROL, "").alias("value")))
+        parts = F.split(F.make_valid_utf8(F.substring(body, F.lit(3), F.octet_length(body)).cast("string")), "\x1f")
+        subs = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.substring(p, 1, 1).alias("code"), F.regexp_replace(F.substring(p, F.lit(2), F.length(p)), _CONTROL, "").alias("value")))
         ctl = d["tag"] < "010"
         ind = lambda k: F.when(~ctl, F.substring(body, k, 1).cast("string"))
         return F.struct(d["tag"].alias("tag"), ind(1).alias("ind1"), ind(2).alias("ind2"), F.when(ctl, _text(body)).alias("data"), F.when(~ctl, subs).cast(f"array<{SUBFIELD}>").alias("subfields"))

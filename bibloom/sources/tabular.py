@@ -48,7 +48,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     delimiter = delimiter or sniff_delimiter(lines)
     first = next(csv.reader(io.StringIO(lines[0]), delimiter=delimiter), []) if lines else []
     header = has_header(first) if header is None else header
-    rows = spark.read.csv(path, sep=delimiter, header=header, encoding=encoding, quote='"', escape='"', maxCharsPerColumn=10_000_000, enforceSchema=True, inferSchema=False)
+    rows = spark.read.csv(path, sep=delimiter, header=header, encoding=encoding, quote='"', escape='"', maxCharsPerColumn=-1, enforceSchema=True, inferSchema=False)
     rows = rows.toDF(*(c.strip().lstrip("﻿") if header else f"col_{k + 1}" for k, c in enumerate(rows.columns)))
     rows = rows.select(*(strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in rows.columns))
     return rows.where(F.concat_ws("", *(F.col(f"`{c}`") for c in rows.columns)) != "")
@@ -75,7 +75,7 @@ _VALUE = r"(?s)\s*('(?:[^'\\]|\\.|'')*'|[^',]+)\s*"
 
 def _unquoted(v: Column) -> Column:
     bare = strip(v)
-    inner = F.regexp_replace(F.replace(F.substring(bare, 2, 1 << 20), F.lit("''"), F.lit("'")), r"(?s)'$", "")
+    inner = F.regexp_replace(F.replace(F.substring(bare, F.lit(2), F.length(bare)), F.lit("''"), F.lit("'")), r"(?s)'$", "")
     return F.when(F.upper(bare) == "NULL", F.lit(None)).when(bare.startswith("'"), F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(bare)
 
 
@@ -109,12 +109,15 @@ def control_values(scripts: DataFrame, column: str = "value") -> DataFrame:
     cell = lambda name: F.try_element_at("cells", F.lit(name))
     av = F.create_map(*(F.lit(x) for kv in AUTHORISED.items() for x in kv))
     is_av = F.col("table_name") == "authorised_values"
-    kind = F.when(is_av, F.coalesce(F.try_element_at(av, F.upper(cell("category"))), F.concat(F.lit("av:"), cell("category"))))
-    code, label = F.when(is_av, cell("authorised_value")), F.when(is_av, cell("lib"))
+    either = lambda *names: F.coalesce(*(F.when(cell(n) != "", cell(n)) for n in names))
+    category = F.coalesce(cell("category"), F.lit(""))
+    named = F.coalesce(F.try_element_at(av, F.upper(category)), F.when(category == "", "other").otherwise(F.concat(F.lit("av:"), F.lower(category))))
+    kind = F.when(is_av, named)
+    code, label = F.when(is_av, either("authorised_value", "value")), F.when(is_av, either("lib", "description"))
     for name, (k, c, d) in CONTROL_TABLES.items():
         here = F.col("table_name") == name
         kind, code, label = kind.when(here, F.lit(k)), code.when(here, cell(c)), label.when(here, cell(d))
-    return rows.select(kind.alias("kind"), code.alias("code"), F.coalesce(label, F.lit("")).alias("description")).where(F.col("kind").isNotNull() & F.col("code").isNotNull())
+    return rows.select(kind.alias("kind"), code.alias("code"), F.coalesce(label, F.lit("")).alias("description")).where(F.col("kind").isNotNull() & (F.col("code") != ""))
 
 
 def best_file(found: Sequence[str], order: Sequence[str]) -> str | None:

@@ -33,6 +33,20 @@ def sessions(events: DataFrame, time: str = "ts", user: str = "user_id", gap: st
     return grouped.select(user, F.col("w.start").alias("start"), F.col("w.end").alias("finish"), "n")
 
 
+def export_lines(events: DataFrame, as_csv: bool = False) -> DataFrame:
+    """(created_at, line) of audit events (created_at, stage, level, tag, message, record_001) in
+    order of time, as plain text or as cells of CSV."""
+    time = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    if as_csv:
+        quoted = lambda v: F.when(v.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+        line = F.concat_ws(",", time, *(quoted(blank(c)) for c in ("stage", "level", "tag", "message", "record_001")))
+    else:
+        stage = F.when(blank("stage") != "", F.concat(F.lit("[stage "), blank("stage"), F.lit("]"))).otherwise("[global]")
+        line = F.concat_ws("  ", time, stage, blank("tag"), F.concat(F.lit("["), F.upper("level"), F.lit("]")), blank("message"))
+    return events.select("created_at", line.alias("line")).orderBy("created_at", "line")
+
+
 def recent_summary(events: DataFrame, since: str, time: str = "ts", kind: str = "event_type") -> DataFrame:
     """(kind, n, latest) of events since a time, the most frequent first."""
     some = events.where(F.col(time) >= F.lit(since).cast("timestamp"))
