@@ -58,11 +58,16 @@ def date_marc_to_iso(v: Column) -> Column:
 def case_title(v: Column) -> Column:
     """A capital after every non-letter, also after an apostrophe."""
     runs = F.regexp_extract_all(v, F.lit(r"(\p{L}+|[^\p{L}]+)"))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+    def titled(r: Column) -> Column:
+        first = F.upper(F.substring(r, 1, 1))  # some letters become two, the second of which stays small
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, F.lit(2), F.length(first))), F.lower(F.substring(r, F.lit(2), F.length(r))))
+
+    return F.array_join(F.transform(runs, titled), "")
 
 
 def case_sentence(v: Column) -> Column:
-    return F.concat(F.upper(F.substring(v, 1, 1)), F.substring(v, 2, 1 << 30))
+    return F.concat(F.upper(F.substring(v, 1, 1)), F.substring(v, F.lit(2), F.length(v)))
 
 
 def normalize_spaces(v: Column) -> Column:
