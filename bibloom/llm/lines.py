@@ -20,11 +20,12 @@ from bibloom.llm.linking import Match, colliding, linked_components
 SHINGLE = 5
 THRESHOLD = 0.8
 #: MinHash values, and bands of so many of them. Each value is in two bands. Unrelated lines share
-#: one or two of a hundred shingles of five characters, so fewer rows would collide in masses; a
-#: pair at 0.8 meets in some band with probability 0.99.
-VALUES = 40
+#: one or two of a hundred shingles of five characters, so with fewer rows they would collide in
+#: masses that grow with the square of the lines. By simulation a pair at 0.8 meets in some band with
+#: probability 0.98, at 0.85 with 0.997.
+VALUES = 48
 BANDS = 16
-ROWS = 5
+ROWS = 6
 #: Shingles of a row while they are hashed.
 _STEP = 4
 
