@@ -79,8 +79,9 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, gram: i
 
 
 def hits(docs: DataFrame, windows: DataFrame, window: int, gram: int, id_col: str, text: str) -> DataFrame:
-    """(id_col, at, length, window_id) for every window that occurs at word ``at`` of a document."""
-    base = docs.select(id_col, words(F.col(text)).alias("w")).withColumn("h", _hashes("w"))
+    """(id_col, version, at, length, window_id) for every window that occurs at word ``at`` of a
+    document; ``version``, a hash of the text, tells rows of one id apart."""
+    base = docs.select(id_col, F.xxhash64(text).alias("version"), words(F.col(text)).alias("w")).withColumn("h", _hashes("w"))
     small = windows.count() <= BROADCAST_WINDOWS
     side = F.broadcast if small else lambda df: df
     out = None
@@ -92,13 +93,13 @@ def hits(docs: DataFrame, windows: DataFrame, window: int, gram: int, id_col: st
             prints = base.withColumn("f", _wholes("h", length))
         # outer: for an inner one Catalyst adds a filter on the array and computes it in there
         # anew, lambda within lambda; rows without a fingerprint don't survive the join
-        rows = prints.select(id_col, "w", F.posexplode_outer("f").alias("at", "fingerprint"))
+        rows = prints.select(id_col, "version", "w", F.posexplode_outer("f").alias("at", "fingerprint"))
         if not small:  # leave the document's other words behind before the shuffle
-            rows = rows.select(id_col, "at", "fingerprint", F.expr(f"slice(w, at + 1, {length})").alias("here"))
+            rows = rows.select(id_col, "version", "at", "fingerprint", F.expr(f"slice(w, at + 1, {length})").alias("here"))
             found = rows.join(own, "fingerprint").where(F.col("here") == F.col("window_words"))
         else:
             found = rows.join(side(own), "fingerprint").where(F.expr(f"slice(w, at + 1, {length})") == F.col("window_words"))
-        found = found.select(id_col, "at", F.lit(length).alias("length"), "window_id")
+        found = found.select(id_col, "version", "at", F.lit(length).alias("length"), "window_id")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -115,29 +116,29 @@ def decontaminate(
 ) -> DataFrame:
     """What each document shares with the items: id_col, n_words, n_hit (words inside an
     occurrence of a window), n_items, items_sha256 (of the ids of the items with occurring
-    windows, sorted as strings and comma-joined), contaminated.
+    windows, sorted as strings and comma-joined), contaminated, version (a hash of the text).
 
     A null or wordless text has no words and no hits; items without words match nothing; equal
-    items are all reported. Rows that repeat an id are reported each with the hits of all of
-    them; rows with a null id have no hits. Empty tables, on either side, give no hits. Other
+    items are all reported, an item that repeats its id counts once. Rows that share an id are
+    reported each with the hits of its own text; rows with a null id have no hits. Empty tables, on either side, give no hits. Other
     columns are dropped. Texts of any length are taken whole.
     """
     windows = item_windows(items, item_id, item_text, window, gram)
     windows = materialize(windows.withColumn("window_id", F.md5(F.concat_ws(" ", F.col("length"), F.array_join("window_words", " ")))), "windows")
     texts = windows.select("length", "fingerprint", "window_words", "window_id").distinct()
     owners = windows.select("window_id", "item_id").distinct()
-    counts = docs.select(F.col(id_col).alias("_id"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    counts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_version"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     found = hits(docs, texts, window, gram, id_col, text)
     if found is None:
         none = counts.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "ids": F.array().cast("array<string>")})
     else:
         found = materialize(found, "hits")
-        places = found.select(id_col, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("word")).distinct()
-        hit = places.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_hit"))
-        pairs = found.select(id_col, "window_id").distinct().join(owners, "window_id").select(id_col, F.col("item_id").cast("string").alias("item_id")).distinct()
-        by_doc = pairs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("ids"))
-        sums = hit.join(by_doc, id_col).withColumnRenamed(id_col, "_hit_id")
-        none = counts.join(sums, F.col("_id") == F.col("_hit_id"), "left").drop("_hit_id")
+        places = found.select(id_col, "version", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("word")).distinct()
+        hit = places.groupBy(id_col, "version").agg(F.count(F.lit(1)).alias("n_hit"))
+        pairs = found.select(id_col, "version", "window_id").distinct().join(owners, "window_id").select(id_col, "version", F.col("item_id").cast("string").alias("item_id")).distinct()
+        by_doc = pairs.groupBy(id_col, "version").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("ids"))
+        sums = hit.join(by_doc, [id_col, "version"]).withColumnsRenamed({id_col: "_hit_id", "version": "_hit_version"})
+        none = counts.join(sums, (F.col("_id") == F.col("_hit_id")) & (F.col("_version") == F.col("_hit_version")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return none.select(
         F.col("_id").alias(id_col),
@@ -146,4 +147,5 @@ def decontaminate(
         zero("n_items").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (zero("n_hit") > 0).alias("contaminated"),
+        F.col("_version").alias("version"),
     )

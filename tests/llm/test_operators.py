@@ -290,6 +290,45 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in rows.collect()} == {"und"}
 
 
+def slow_ngrams(text):
+    """Packed n-grams of one to three letters by plain loops; a border is the greatest code."""
+    out = Counter()
+    word = []
+    for c in [*text, " "]:
+        if c.isalpha():
+            low = c.lower()
+            word.append(ord(low) if len(low) == 1 else ord(c))
+            continue
+        if word:
+            edged = [langid.BORDER, *word, langid.BORDER]
+            out.update(word)
+            out.update(x << 21 | y for x, y in zip(edged, edged[1:]))
+            out.update(x << 42 | y << 21 | z for x, y, z in zip(edged, edged[1:], edged[2:]))
+        word = []
+    return out
+
+
+def test_language_by_slow_rankings(spark):
+    """Every prediction and score against profiles and out-of-place distances by plain loops."""
+    rows = queries.table(spark, FOLDER, "documents").collect()
+    totals = defaultdict(Counter)
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            totals[r["lang"]].update(slow_ngrams(r["text"] or ""))
+    size = langid.PROFILE_SIZE
+    ranking = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:size]
+    profiles = {name: {g: k for k, g in enumerate(ranking(c))} for name, c in totals.items() if c}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op8_language_id(spark, FOLDER).collect()}
+    for r in rows:
+        own = ranking(slow_ngrams(r["text"] or ""))
+        if not own:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        distance = {name: sum(min(abs(ranks[g] - k), size) if g in ranks else size for k, g in enumerate(own)) for name, ranks in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert got[r["doc_id"]] == (best, pytest.approx(1 - distance[best] / (size * len(own))))
+
+
 # ---- decontamination
 
 
@@ -315,7 +354,7 @@ def test_decontamination(spark):
                     hit |= {*range(i, i + k)}
                     found |= windows[t]
         want[r["doc_id"]] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.decontaminate(docs, items).collect()}
+    got = {r["doc_id"]: tuple(r)[1:6] for r in decontaminate.decontaminate(docs, items).collect()}
     assert got == want
 
 
@@ -330,6 +369,15 @@ def test_decontamination_shuffled_and_odd(spark, monkeypatch):
     assert decontaminate.decontaminate(docs_of(spark, rows).limit(0), items).count() == 0
 
 
+def test_decontamination_of_rows_that_share_an_id(spark):
+    """Each row by its own text; clashing and repeated item columns change nothing."""
+    item = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, item, "x", 1), (1, item, "y", 2), (2, item, "z", 3)], "item_id long, text string, w string, version long")
+    rows = [(7, f"zero {item} eleven"), (7, "nothing of it here"), (7, "nothing of it here")]
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.decontaminate(docs_of(spark, rows), items).collect())
+    assert got == Counter({(7, 12, 10, 2): 1, (7, 4, 0, 0): 2})
+
+
 # ---- lines and paragraphs
 
 
@@ -551,3 +599,64 @@ def test_conversations_keep_their_order(spark):
     rows = queries.op5_chat_formatting(spark, FOLDER).collect()
     assert len(rows) == queries.table(spark, FOLDER, "conversations").count()
     assert all(r["position"] == r["turn"] and r["reply_to"] is None for r in rows)
+
+
+def test_quotes_by_slow_linking(spark):
+    """Generated threads with nested quotes, some of them altered, against a linker of plain loops."""
+    random.seed(12)
+    phrase = lambda: " ".join(random.choice(["red", "green", "blue", "owl", "cat"]) for _ in range(random.randrange(2, 5)))
+    rows = []
+    for conv in range(30):
+        said = []
+        for turn in range(8):
+            body = []
+            if said and random.random() < 0.8:
+                quoted = random.choice(said).split("\n")
+                quoted = quoted[: random.randrange(1, len(quoted) + 1)]
+                body += [("> " if random.random() < 0.5 else ">") + x for x in quoted]
+                if random.random() < 0.2:
+                    body[-1] += " changed"
+            body += [phrase() for _ in range(random.randrange(1, 4))]
+            said.append("\n".join(body))
+            rows.append((conv, turn, "u", said[-1]))
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    plain = lambda x: " ".join(x.lower().split())
+
+    def parsed(text):
+        out = []
+        for line in text.split("\n"):
+            mark = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+            out.append((mark[1].count(">") if mark else 0, line[mark.end() :] if mark else line))
+        runs = []
+        for level, line in out:
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(line)
+            else:
+                runs.append((level, [line]))
+        single = [(level, plain(line), False) for level, line in out if plain(line)]
+        return out, single + [(level, plain(" ".join(x)), True) for level, x in runs if len(x) > 1 and plain(" ".join(x))]
+
+    links = 0
+    for conv in range(30):
+        texts = [t for c, _, _, t in rows if c == conv]
+        first = {}
+        for turn, t in enumerate(texts):
+            for level, x, _ in parsed(t)[1]:
+                if level == 0:
+                    first.setdefault(x, turn)
+        parent = {}
+        for turn, t in enumerate(texts):
+            out, parts = parsed(t)
+            hits = [(level, first[x], whole) for level, x, whole in parts if level and first.get(x, turn) < turn]
+            votes = Counter(o for level, o, _ in hits if level == 1)
+            parent[turn] = max(votes, key=lambda o: (votes[o], o)) if votes else None
+            r = got[conv, turn]
+            assert r["content"] == "\n".join(x for level, x in out if level == 0).strip()
+            assert (r["n_quotes"], r["n_linked"]) == (sum(1 for level, _, whole in parts if level and not whole), sum(not whole for *_, whole in hits))
+            depth, top = 0, turn
+            while parent[top] is not None:
+                depth, top = depth + 1, parent[top]
+            # depth, root and reply_to are null or zero where nothing is quoted
+            assert (r["reply_to"], r["depth"], r["root"]) == (parent[turn], depth, top)
+            links += parent[turn] is not None
+    assert links > 50

@@ -35,3 +35,18 @@ def test_run_and_registration(spark):
     assert 0 < pipeline.run(spark, FOLDER).count() <= 200
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids and texts, an id on two texts, repeated rows, further columns, and no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, version string, line string"
+    one, two = "words of a text that nobody else has written down", "quite another text that stands under the same id"
+    rows = [(1, one, "en", "s", len(one), "v", "l"), (1, two, "en", None, len(two), "v", "l"), (1, one, "en", "s", len(one), "v", "l"), (2, None, None, None, None, None, None), (3, "", "en", "s", 0, "v", "l"), (None, one + " again", "en", "s", 54, "v", "l")]
+    for data in (rows, []):
+        now = spark.createDataFrame(data, schema)
+        for name, stage in pipeline.STAGES[:-1]:
+            now = materialize(stage(spark, now, FOLDER), name)
+            assert now.columns == [c.split(" ")[0] for c in schema.split(", ")]
+        texts = sorted(r["text"] for r in now.collect())
+        assert texts == (sorted([one, two, one + " again"]) if data else [])
+        assert pipeline.STAGES[-1][1](spark, now, FOLDER).count() == len(texts)
