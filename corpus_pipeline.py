@@ -28,7 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that are equal or similar to an earlier one; documents of which nothing but
-    blank lines is left go."""
+    blank lines is left go. Null and empty texts and rows without an id stay as they are, further
+    columns too; an empty table stays empty."""
     found = lines.dedup(docs)
     left = found.where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
@@ -36,24 +37,31 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates keep the document with the least id; rows that repeat
-    its id are repeats of it and go too. Rows without an id can't be told apart and stay."""
-    found = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each group of near-duplicates keep the document with the least id, then hash of the
+    text; rows that repeat both are repeats of it and go too, rows that share an id alone are
+    documents of their own. Rows without an id can't be told apart and stay. Null and empty
+    texts are near-duplicates of each other; an empty table stays empty."""
+    version = F.coalesce(F.xxhash64("text"), F.lit(0))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", F.struct(F.col("doc_id").alias("id"), version.alias("version")))
+    found = simhash.near_duplicates(named, id_col="_key")
+    kept = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key.id").alias("_id"), F.col("_key.version").alias("_version")).distinct()
+    left = named.join(kept, (F.col("_key.id") == F.col("_id")) & (F.col("_key.version") == F.col("_version")), "left_semi")
+    left = left.dropDuplicates(["_key"]).select(docs.columns)
+    return left.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that share ten consecutive words with a benchmark item (or a whole
-    shorter item)."""
+    shorter item), each row by its own text. Rows without an id or text stay; empty tables, on
+    either side, drop nothing."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    return docs.join(hit, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: doc_id, ids, n_tokens; decoding them gives ``decoded``."""
+    """Token ids of every document: doc_id, ids, n_tokens; decoding them gives ``decoded``. Null and
+    empty texts have none; rows without an id or that repeat one are encoded each."""
     found = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"))
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
