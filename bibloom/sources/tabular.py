@@ -68,9 +68,12 @@ def read_xml_rows(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").option("ignoreNamespace", "true").load(path)
 
 
-_INSERT = r"(?is)INSERT\s+(?:IGNORE\s+)?INTO\s+`?(\w+)`?\s*\(([^)]*)\)\s*VALUES\s*((?:\((?:'(?:[^'\\]|\\.|'')*'|[^'()])*\)\s*,?\s*)+)"
-_TUPLE = r"(?s)\(((?:'(?:[^'\\]|\\.|'')*'|[^'()])*)\)"
-_VALUE = r"(?s)\s*('(?:[^'\\]|\\.|'')*'|[^',]+)\s*"
+# possessive, so that a long value is taken in one step and never gone back into
+_QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
+_CELLS = rf"(?:{_QUOTED}|[^'()]++)*+"
+_INSERT = rf"(?is)INSERT\s+(?:IGNORE\s+)?INTO\s+`?(\w+)`?\s*\(([^)]*)\)\s*VALUES\s*((?:\({_CELLS}\)\s*,?\s*)+)"
+_TUPLE = rf"(?s)\(({_CELLS})\)"
+_VALUE = rf"(?s)\s*({_QUOTED}|[^',]++)\s*"
 
 
 def _unquoted(v: Column) -> Column:
