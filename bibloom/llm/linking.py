@@ -164,15 +164,17 @@ def _merged(components: DataFrame, more: DataFrame) -> DataFrame:
 def _block_links(left: DataFrame, items: DataFrame, match: Match) -> DataFrame:
     """(a, b): the links between outsiders and items of other components in the same bucket.
 
-    A pair that meets in several buckets is compared in the first. Every block of outsiders goes
-    to each block of its bucket by a key of its own.
+    Rows hold the sizes and parities of a block's items, not their contents; pairs that the bound
+    leaves, most of them links, are compared as those with pivots are. A pair that meets in several
+    buckets is compared in the first. Every block of outsiders goes to each block of its bucket by
+    a key of its own.
     """
     hold = settled(left.count())
     buckets = left.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # a few for each item
     counts = hold(left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ITEMS)).cast("int").alias("blocks")), "bucket-counts")
     members = left.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = materialize(members.join(buckets, "id").join(items, "id"), "block-items")
-    item = F.struct("id", "component", "buckets", *items.columns[1:])
+    members = materialize(members.join(buckets, "id").join(items.drop("content"), "id"), "block-items")
+    item = F.struct("id", "component", "buckets", *(c for c in items.columns if c not in ("id", "content")))
     every = members.groupBy("bucket", "block").agg(F.collect_list(item).alias("items"))
     some = members.where("outside").groupBy("bucket", "block", "blocks").agg(F.collect_list(item).alias("outsiders"))
     meeting = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
@@ -183,9 +185,8 @@ def _block_links(left: DataFrame, items: DataFrame, match: Match) -> DataFrame:
         # cheap tests first; each pair only in the first bucket that both are in
         others = F.filter("items", lambda y: (x["component"] != y["component"]) & match.possible(lambda c: x[c], lambda c: y[c]))
         here = F.filter(others, lambda y: F.array_min(F.array_intersect(x["buckets"], y["buckets"])) == F.col("bucket"))
-        near = F.filter(here, lambda y: match.similar(x["content"], y["content"]))
-        return F.transform(near, lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+        return F.transform(here, lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
 
     links = F.flatten(F.transform("outsiders", links_of))
     found = rows.select(F.explode_outer(links).alias("link")).where(F.col("link").isNotNull()).select("link.a", "link.b").distinct()
-    return materialize(found, "block-links")
+    return _links(found, items, match)
