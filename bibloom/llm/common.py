@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,31 +27,50 @@ LIGHT_ROWS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id: partition index above, row of the partition below
 
 
+#: Temporary folders of local applications without a setting, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a temporary
-    folder if driver and executors are one process, else one in the warehouse, which they share."""
+    folder of the application if driver and executors are one process; on a cluster, which shares
+    no such folder, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if spark.sparkContext.master.startswith(("local[", "local")) and "cluster" not in spark.sparkContext.master:
-            folder = f"file://{tempfile.mkdtemp(prefix='bibloom-')}"
-        else:
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/bibloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='bibloom-')}"
+        folder = _own_folders[context.applicationId]
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The table cuts the lineage, survives the loss of executors and fixes the rows of anything
     that is not deterministic. Its number of files follows the partitions, which adaptive
-    execution sizes by the data.
+    execution sizes by the data. ``options`` go to the writer.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of a job go when it ends: for writes of large tables, which
+    nothing computes again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``materialize`` that nothing reads any more."""
     for df in tables:

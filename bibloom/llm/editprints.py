@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from bibloom.llm.common import map_batches, materialize
 from bibloom.llm.components import connected_components
-from bibloom.llm.linking import colliding, linked_components
+from bibloom.llm.linking import Match, colliding, linked_components
 
 #: Steps that a fingerprint keeps at most, about.
 SAMPLE = 256
@@ -345,12 +345,10 @@ def near_copies(df: DataFrame, text: str = "text", id_col: str = "doc_id", least
 
     entries = map_batches(items, start, "item bigint, level int, keys array<bigint>, symbols string")
     entries = materialize(entries.withColumn("id", F.xxhash64("item", "level")), "entries")
-
-    def places(symbols):  # of n kept steps, l in common are a Jaccard similarity of l / (2 n - l)
-        return F.transform(F.split(symbols, ""), lambda c, i: F.concat(i.cast("string"), c))
-
+    # of n kept steps, l with the same symbol are a Jaccard similarity of l / (2 n - l)
+    steps = F.transform(F.split("symbols", ""), lambda c, i: F.xxhash64(i, c))
     shared = colliding(entries.select("id", "keys"))
-    linked = linked_components(shared, entries.select("id", "symbols"), places, least / (2 - least))
+    linked = linked_components(shared, entries.select("id", steps.alias("content")), Match(lambda c: c, least / (2 - least)))
     edges = linked.join(entries.select("id", "item"), F.col("node") == F.col("id")).select(F.col("item").alias("a"), F.col("component").alias("b"))
     reached = connected_components(edges, "a", "b")
     members = prints.join(reached.withColumnRenamed("node", "item"), "item")
