@@ -98,12 +98,11 @@ class Features:
                 break
             last = slice(more, None)
             # the register after the run's bytes, moved over a space and the next word
-            table = self.steps[np.minimum(length[last] + 1, _TABLED)]
+            steps = np.minimum(length[last] + 1, _TABLED)
             before = run[: n - more]
-            rows = np.arange(n - more)
             moved = spaced[last].copy()
             for k in range(4):
-                moved ^= table[rows, k, before >> np.uint32(8 * k) & np.uint32(0xFF)]
+                moved ^= self.steps[steps, k, before >> np.uint32(8 * k) & np.uint32(0xFF)]
             for i in long[long >= more] - more:
                 moved[i] = zlib.crc32(b" " + words[i + more], int(before[i]))
             inside = text[: n - more] == text[last]
