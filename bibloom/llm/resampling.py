@@ -33,11 +33,11 @@ MIN_WORDS = 20
 SEED = "42"
 
 #: Words that a task remembers.
-_KNOWN = 1 << 18
+_KNOWN = 1 << 16
 #: Bytes of a word for which the step of the checksum over it is tabled; the rest is rare.
 _TABLED = 64
 #: Rows of a record batch that are signed at a time.
-_ROWS = 256
+_ROWS = 64
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
