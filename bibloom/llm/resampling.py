@@ -113,8 +113,8 @@ class Features:
 
 
 def features(texts: DataFrame, text: str, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """The columns ``keep`` with n_words, n_features and the text's buckets in rising order: gaps
-    (from the bucket before, the first from -1) and times."""
+    """The columns ``keep`` with n_words, n_features and gaps: the buckets of the text's features in
+    rising order, each as the step from the one before (the first from 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(buckets)
@@ -124,42 +124,40 @@ def features(texts: DataFrame, text: str, keep: list[str], buckets: int = BUCKET
                 split = [words_of(t or "") for t in part.column(0).to_pylist()]
                 n_words = np.array([len(s) for s in split], np.int64)
                 found, row = made.of([w for s in split for w in s], np.cumsum(n_words))
-                values, times = np.unique(row.astype(np.int64) * buckets + found, return_counts=True)
-                owner, values = values // buckets, values % buckets
-                offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-                gaps = np.diff(values, prepend=-1)
-                first = offsets[:-1][np.diff(offsets) > 0]
-                gaps[first] = values[first] + 1
-                n_features = np.bincount(row, minlength=part.num_rows)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (gaps, times)]
-                columns = [*part.columns[1:], pa.array(n_words), pa.array(n_features.astype(np.int64)), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "n_features", "gaps", "times"])
+                values = np.sort(row.astype(np.int64) * buckets + found) % buckets
+                n_features = np.bincount(row, minlength=part.num_rows).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n_features)]).astype(np.int32)
+                gaps = np.diff(values, prepend=0)
+                first = offsets[:-1][n_features > 0]
+                gaps[first] = values[first]
+                lists = pa.ListArray.from_arrays(offsets, pa.array(gaps.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n_words), pa.array(n_features), lists], names=[*keep, "n_words", "n_features", "gaps"])
 
     kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
-    return texts.select(text, *keep).mapInArrow(run, f"{kinds}, n_words bigint, n_features bigint, gaps array<int>, times array<int>")
+    return texts.select(text, *keep).mapInArrow(run, f"{kinds}, n_words bigint, n_features bigint, gaps array<int>")
 
 
-def _flat(batch: pa.RecordBatch, gaps: int, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and times of all entries of a batch."""
-    starts = np.asarray(batch.column(gaps).offsets)
-    starts = starts - starts[0]
-    steps = np.asarray(batch.column(gaps).flatten()).astype(np.int64)
-    rows = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-    sums = np.cumsum(steps)
-    before = np.concatenate([[0], sums])[starts[:-1]]
-    return rows, sums - before[rows] - 1, np.asarray(batch.column(times).flatten()).astype(np.int64)
+def _flat(batch: pa.RecordBatch, gaps: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows of a batch at a time, with the row and the bucket of each of their features."""
+    for lo in range(0, batch.num_rows, _ROWS):
+        part = batch.slice(lo, _ROWS)
+        ends = np.asarray(part.column(gaps).offsets).astype(np.int64)
+        starts = ends[:-1] - ends[0]
+        rows = np.repeat(np.arange(part.num_rows), np.diff(ends))
+        sums = np.cumsum(np.asarray(part.column(gaps).flatten()), dtype=np.int64)
+        yield part, rows, sums - np.concatenate([[0], sums])[starts][rows]
 
 
 def bucket_counts(made: DataFrame, multiplicity: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): features by bucket, each text's times its multiplicity. Every task adds up its
     own texts, so that no more than a row for each bucket and task is shuffled."""
-    side = made.select("gaps", "times", (F.lit(1) if multiplicity is None else F.col(multiplicity)).cast("bigint").alias("m"))
+    side = made.select("gaps", (F.lit(1) if multiplicity is None else F.col(multiplicity)).cast("bigint").alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            rows, bucket, times = _flat(batch, 0, 1)
-            np.add.at(total, bucket, times * np.asarray(batch.column(2))[rows])
+            for part, rows, bucket in _flat(batch, 0):
+                np.add.at(total, bucket, np.asarray(part.column(1))[rows])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -185,13 +183,13 @@ def weights(made: DataFrame, gain: list[int], keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, bucket, times = _flat(batch, n + 2, n + 3)
-            weight = np.zeros(batch.num_rows, np.int64)
-            np.add.at(weight, rows, shared.value[bucket] * times)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(weight)], names=[*keep, "n_words", "n_features", "weight"])
+            for part, rows, bucket in _flat(batch, n + 2):
+                weight = np.zeros(part.num_rows, np.int64)
+                np.add.at(weight, rows, shared.value[bucket])
+                yield pa.RecordBatch.from_arrays([*part.columns[: n + 2], pa.array(weight)], names=[*keep, "n_words", "n_features", "weight"])
 
     kinds = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in keep)
-    return made.select(*keep, "n_words", "n_features", "gaps", "times").mapInArrow(run, f"{kinds}, n_words bigint, n_features bigint, weight bigint")
+    return made.select(*keep, "n_words", "n_features", "gaps").mapInArrow(run, f"{kinds}, n_words bigint, n_features bigint, weight bigint")
 
 
 def noise(id_column: Column, seed: str = SEED) -> Column:
