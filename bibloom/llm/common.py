@@ -59,29 +59,37 @@ def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within this, the shuffle files of a job go when it ends: for writes of large tables, which
-    nothing computes again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session that hold within this; underscores stand for dots."""
+    keys = {key.replace("_", "."): value for key, value in values.items()}
+    before = {key: spark.conf.get(key) for key in keys}
     try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Within this, the shuffle files of a job go when it ends: for writes of large tables, which
+    nothing computes again."""
+    return settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true")
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``materialize`` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        folder = shared_folder(spark)
-        jvm = spark._jvm
-        parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for parent in parents:
-            if folder.removeprefix("file://") in parent:
-                path = jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, parent)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is within the one for intermediate tables."""
+    if shared_folder(spark).removeprefix("file://") in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(rows: int) -> Callable[[DataFrame, str], DataFrame]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bibloom.llm import alignment, bpe, decontaminate, editprints, langid, lines, paragraphs, quotes, resampling, sharding, simhash
+from bibloom.llm import alignment, bpe, decontaminate, editprints, langid, lines, paragraphs, quotes, resampling, sharding, simhash, suffixes
 from bibloom.llm.common import table
 
 
@@ -65,6 +66,11 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_token_alignment": op11_token_alignment,
     "op12_target_resampling": op12_target_resampling,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}
