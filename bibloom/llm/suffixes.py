@@ -11,7 +11,7 @@ key. Equal windows have equal keys, so all matches are found among cells of one
 
 * cells that are equal as a whole match in all their windows, which the index tells by their hash;
 * of cells of one key that differ, and only of those, the texts are read again and their windows
-  compared, by hashes of 128 bits with the key.
+  compared, by a hash of 64 bits beside the key.
 
 A level is a table of (key, cell, first and last document), in buckets by key and sorted within.
 The levels' buckets correspond, so a scan and a merge read them side by side without a shuffle, and
@@ -32,21 +32,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibloom.llm.common import discard, materialize, remove, settings, shared_folder
-from bibloom.llm.paragraphs import _mixed, gram_hashes, least_of
+from bibloom.llm.paragraphs import least_of
 
 #: Bytes of the shortest match.
 LENGTH = 50
 #: Bytes that choose the place of a suffix: at fewer, unlike windows share keys by chance; at more,
 #: there are more suffixes.
 GRAM = 20
-BATCHES = 4
+BATCHES = 3
 #: Rows of a side of a join that is broadcast, 16 to 40 bytes each; a larger side is shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 4_000_000
 #: Bytes of text that are hashed at a time; longer texts are cut, which cuts cells but no window.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
-_CELL = 0xD6E8FEB86659FD93
-_WINDOW = 0xA0761D6478BD642F
+_FACTOR = 0xD6E8FEB86659FD93
+_STIR = 0xA0761D6478BD642F
+#: Rows of the index that a task gathers before it makes equal ones one.
+_GATHERED = 1 << 18
 _BYTES = np.random.default_rng(20240311).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -56,48 +58,73 @@ def _bounded(side: DataFrame, weight=None) -> DataFrame:
     return F.broadcast(side) if size <= BROADCAST_ROWS else side
 
 
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, kept for as many as were needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(cls.up):
+            factors = np.full(n, _FACTOR, np.uint64), np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)
+            for f in factors:
+                f[0] = 1
+            cls.up, cls.down = map(np.multiply.accumulate, factors)
+        return cls.up[:n], cls.down[:n]
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
+    return (h ^ h >> np.uint64(32)) * np.uint64(_STIR)
+
+
 class Cells:
     """The cells of some texts, one after another: text (its number), at (byte of the text where the
-    first window begins), n (windows), key, cell (hash of all its bytes), and where it begins among
+    first window begins), n (windows), key, cell (hash of all its bytes), and begin, its place among
     the bytes of these texts."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
         pieces = [(k, lo, t[lo : lo + CHUNK + length - 1]) for k, t in enumerate(texts) for lo in range(0, max(1, len(t) - length + 1), CHUNK)]
         self.length = length
-        self.values = _BYTES[np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)]
+        data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+        up, self.down = _Powers.of(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * up[:-1], out=self.sums[1:])
         sizes = np.array([len(p[2]) for p in pieces], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        n = max(0, len(self.values) - length + 1)
-        least = least_of(gram_hashes(self.values, gram), length - gram + 1) if n else np.zeros(0, np.uint64)
-        sound = np.arange(n) + length <= (begins + sizes)[piece[:n]]  # no window goes over the end of its text
-        new = sound.copy()
-        new[1:] &= (least[1:] != least[:-1]) | (piece[1:n] != piece[: n - 1])
-        self.begin = np.flatnonzero(new)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        n = max(0, len(data) - length + 1)
+        least = least_of(self._every(gram), length - gram + 1) if n else np.zeros(0, np.uint64)
+        # no window goes over the end of its text
+        sound = np.ones(len(data), bool)
+        sound[np.maximum(ends[:, None] - np.arange(1, length), begins[:, None])[sizes > 0].ravel()] = False
+        sound = sound[:n]
+        new = np.ones(n, bool)
+        new[1:] = least[1:] != least[:-1]
+        new[begins[begins < n]] = True
+        self.begin = np.flatnonzero(new & sound)
         # a cell ends where the next begins, or before the first window that is none
         stops = np.append(np.flatnonzero(new | ~sound), n)
         self.n = stops[np.searchsorted(stops, self.begin, "right")] - self.begin if len(self.begin) else self.begin
         self.key = least[self.begin].view(np.int64)
-        self.cell = self._hashes(self.begin, self.n + length - 1).view(np.int64)
-        owner = piece[self.begin]
+        size = self.n + length - 1
+        whole = (self.sums[self.begin + size] - self.sums[self.begin]) * self.down[self.begin]
+        self.cell = _stirred(whole + size.astype(np.uint64)).view(np.int64)
+        owner = np.searchsorted(begins + (sizes == 0), self.begin, "right") - 1
         self.text = np.array([p[0] for p in pieces], np.int64)[owner]
         self.at = self.begin - begins[owner] + np.array([p[1] for p in pieces], np.int64)[owner]
 
-    def _hashes(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Hashes of stretches of any sizes."""
-        if not len(begin):
-            return np.zeros(0, np.uint64)
-        up, down = np.full(len(self.values), _CELL, np.uint64), np.full(len(self.values), pow(_CELL, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values * np.multiply.accumulate(up))])
-        return _mixed((sums[begin + size] - sums[begin]) * np.multiply.accumulate(down)[begin] + size.astype(np.uint64))
+    def _every(self, size: int) -> np.ndarray:
+        """The hash of every ``size`` bytes."""
+        n = len(self.sums) - size
+        return _stirred((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
     def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all windows of some cells, one cell's after another's, and where each
         cell's begin."""
         ends = np.concatenate([[0], np.cumsum(self.n[some])])
         places = np.repeat(self.begin[some] - ends[:-1], self.n[some]) + np.arange(ends[-1])
-        return gram_hashes(self.values, self.length, _WINDOW)[places].view(np.int64) if len(places) else places, ends
+        hashes = (self.sums[places + self.length] - self.sums[places]) * self.down[places]
+        return _stirred(hashes).view(np.int64), ends
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -155,17 +182,28 @@ class Family:
         document. Equal ones of a chunk are one row before they are shuffled."""
         length, gram = self.length, self.gram
 
+        def distinct(gathered: list[tuple]) -> pa.RecordBatch:
+            key, cell, doc = map(np.concatenate, zip(*gathered, strict=True))
+            order = np.lexsort((doc, cell, key))
+            key, cell, doc = key[order], cell[order], doc[order]
+            new = np.ones(len(key) + 1, bool)
+            new[1:-1] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
+            first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+            gathered.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first], cell[first], doc[first], doc[last])], names=["key", "cell", "first", "last"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gathered, rows = [], 0
             for batch in batches:
                 for part, texts in _slices(batch, 1):
                     c = Cells(texts, length, gram)
-                    doc = np.asarray(part.column(0))[c.text]
-                    order = np.lexsort((doc, c.cell, c.key))
-                    key, cell, doc = c.key[order], c.cell[order], doc[order]
-                    new = np.ones(len(key) + 1, bool)
-                    new[1:-1] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
-                    first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first], cell[first], doc[first], doc[last])], names=["key", "cell", "first", "last"])
+                    gathered.append((c.key, c.cell, np.asarray(part.column(0))[c.text]))
+                    rows += len(c.key)
+                    if rows > _GATHERED:
+                        yield distinct(gathered)
+                        rows = 0
+            if gathered:
+                yield distinct(gathered)
 
         cells = batch.select("doc", "text").mapInArrow(run, "key bigint, cell bigint, first bigint, last bigint")
         return cells.repartition(self.buckets, "key").groupBy("key", "cell").agg(F.min("first").alias("first"), F.max("last").alias("last"))
