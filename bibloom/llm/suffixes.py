@@ -11,11 +11,11 @@ key. Equal windows have equal keys, so all matches are found among cells of one
 
 * cells that are equal as a whole match in all their windows, which the index tells by their hash;
 * of cells of one key that differ, and only of those, the texts are read again and their windows
-  compared, by a hash of 64 bits beside the key.
+  compared, by a longer key first and then by a hash of 64 bits beside the key.
 
-A level is a table of (key, cell, first and last document), in buckets by key and sorted within.
-The levels' buckets correspond, so a scan and a merge read them side by side without a shuffle, and
-only a new batch is shuffled. A cell that many documents have is one row for each task that reads
+A level is a table of (key, cell, first document and how far the last is from it), in buckets by key
+and sorted within. The levels' buckets correspond, so a scan and a merge read them side by side
+without a shuffle, and only a new batch is shuffled. A cell that many documents have is one row for each task that reads
 them, and one of the level.
 """
 
@@ -39,6 +39,8 @@ LENGTH = 50
 #: Bytes that choose the place of a suffix: at fewer, unlike windows share keys by chance; at more,
 #: there are more suffixes.
 GRAM = 20
+#: Bytes that windows are told apart by, before each is.
+FINE = 35
 BATCHES = 3
 #: Rows of a side of a join that is broadcast, 16 to 40 bytes each; a larger side is shuffled.
 BROADCAST_ROWS = 4_000_000
@@ -47,7 +49,7 @@ CHUNK = 1 << 16
 
 _FACTOR = 0xD6E8FEB86659FD93
 _STIR = 0xA0761D6478BD642F
-#: Rows of the index that a task gathers before it makes equal ones one.
+#: Rows that a task gathers before it hands them on.
 _GATHERED = 1 << 18
 _BYTES = np.random.default_rng(20240311).integers(0, 1 << 64, 256, np.uint64)
 
@@ -118,13 +120,21 @@ class Cells:
         n = len(self.sums) - size
         return _stirred((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
-    def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all windows of some cells, one cell's after another's, and where each
-        cell's begin."""
-        ends = np.concatenate([[0], np.cumsum(self.n[some])])
-        places = np.repeat(self.begin[some] - ends[:-1], self.n[some]) + np.arange(ends[-1])
+    def windows(self, some: np.ndarray, fine: int) -> tuple[np.ndarray, ...]:
+        """The windows of some cells in runs of one finer key, the least hash of ``fine`` bytes in
+        them: for each run its cell, offset in the cell and finer key; the hashes of all windows, one
+        run's after another's, and where each run's begin."""
+        n = self.n[some]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(self.begin[some] - ends[:-1], n) + np.arange(ends[-1])
         hashes = (self.sums[places + self.length] - self.sums[places]) * self.down[places]
-        return _stirred(hashes).view(np.int64), ends
+        finer = least_of(self._every(fine), self.length - fine + 1)[places] if len(places) else hashes
+        new = np.ones(len(places), bool)
+        new[1:] = finer[1:] != finer[:-1]
+        new[ends[:-1]] = True
+        runs = np.flatnonzero(new)
+        own = np.searchsorted(ends, runs, "right") - 1
+        return some[own], runs - ends[own], finer[runs].view(np.int64), _stirred(hashes).view(np.int64), np.append(runs, len(places))
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -178,8 +188,9 @@ class Family:
     # ---- the index
 
     def _index(self, batch: DataFrame) -> DataFrame:
-        """(key, cell, first, last): the batch's suffixes, cells with their least and greatest
-        document. Equal ones of a chunk are one row before they are shuffled."""
+        """(key, cell, first, spread): the batch's suffixes, cells with their least document and how
+        far the greatest is above it. Equal ones that a task gathers are one row before they are
+        shuffled."""
         length, gram = self.length, self.gram
 
         def distinct(gathered: list[tuple]) -> pa.RecordBatch:
@@ -206,15 +217,17 @@ class Family:
                 yield distinct(gathered)
 
         cells = batch.select("doc", "text").mapInArrow(run, "key bigint, cell bigint, first bigint, last bigint")
-        return cells.repartition(self.buckets, "key").groupBy("key", "cell").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        cells = cells.repartition(self.buckets, "key").groupBy("key", "cell").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        return cells.select("key", "cell", "first", (F.col("last") - F.col("first")).alias("spread"))
 
     def _merge(self) -> None:
         """Merge the last two levels for as long as they hold equally many batches."""
         while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
             b, a = self.levels.pop(), self.levels.pop()
-            right = b.rows().select("key", "cell", F.col("first").alias("f"), F.col("last").alias("l"))
-            both = a.rows().join(right, ["key", "cell"], "full_outer")
-            merged = both.select("key", "cell", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
+            right = b.rows().select("key", "cell", F.col("first").alias("f"), F.col("spread").alias("s"))
+            both = a.rows().join(right.hint("shuffle_hash"), ["key", "cell"], "full_outer").withColumn("least", F.least("first", "f"))
+            last = F.greatest(F.col("first") + F.col("spread"), F.col("f") + F.col("s"))
+            merged = both.select("key", "cell", F.col("least").alias("first"), (last - F.col("least")).alias("spread"))
             with self._settings():
                 self.levels.append(Level(self.spark, merged, self.buckets, a.batches + b.batches))
             a.drop()
@@ -240,28 +253,24 @@ class Family:
     def _scan(self, own: Level) -> DataFrame:
         """(key, cell, first, last) over the batch and all levels, of the keys of the batch that
         documents share."""
-        keys = None
-        for k, level in enumerate([own, *self.levels]):
-            ends = level.rows().groupBy("key").agg(F.min("first").alias(f"lo{k}"), F.max("last").alias(f"hi{k}"))
-            keys = ends if keys is None else keys.join(ends, "key", "left")
-        n = len(self.levels) + 1
-        if n > 1:
-            lo, hi = F.least(*(f"lo{k}" for k in range(n))), F.greatest(*(f"hi{k}" for k in range(n)))
-        else:
-            lo, hi = F.col("lo0"), F.col("hi0")
-        shared = materialize(keys.where(lo < hi).select("key"), "shared-keys")
-        side = _bounded(shared)
-        # written one by one: a union of tables in buckets would pass for one in buckets
-        parts = [materialize(level.rows().join(side, "key"), "shared-cells") for level in (own, *self.levels)]
-        known = reduce(DataFrame.unionByName, parts).groupBy("key", "cell").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        mine = own.rows()
+        # the batch's keys of a bucket are held, and the levels' buckets stream by
+        sought = mine.select("key").hint("shuffle_hash")
+        parts = [materialize(level.rows().join(sought, "key", "left_semi"), "shared-cells") for level in self.levels]
+        ends = mine.groupBy("key").agg(F.min("first").alias("lo"), F.max(F.col("first") + F.col("spread")).alias("hi"))
+        keys = materialize(ends.where(F.col("lo") < F.col("hi")).select("key"), "shared-keys")
+        # of written tables: a union of tables in buckets would pass for one in buckets
+        keys = [keys, materialize(reduce(DataFrame.unionByName, [keys, *(p.select("key") for p in parts)]).distinct(), "shared-keys")]
+        parts.append(materialize(mine.join(_bounded(keys[1]), "key"), "shared-cells"))
+        known = reduce(DataFrame.unionByName, parts).groupBy("key", "cell").agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("spread")).alias("last"))
         known = materialize(known, "known-cells")
-        discard(shared, *parts)
+        discard(*keys, *parts)
         return known
 
     def _windows(self, known: DataFrame) -> DataFrame:
         """(key, cell, offsets): of cells that differ from others of their key, the windows that a
         document before the cell's first one has."""
-        length, gram = self.length, self.gram
+        length, gram, fine = self.length, self.gram, min(max(FINE, self.gram), self.length)
         unlike = known.groupBy("key").agg(F.count(F.lit(1)).alias("cells"), F.min("first").alias("lo"), F.max("first").alias("hi"))
         unlike = materialize(unlike.where((F.col("cells") > 1) & (F.col("lo") < F.col("hi"))).select("key"), "unlike-keys")
         wanted = known.join(_bounded(unlike), "key").groupBy("first").agg(F.collect_set("cell").alias("cells"))
@@ -277,32 +286,42 @@ class Family:
                     for k, cells in enumerate(part.column(2)):
                         mine, at = np.unique(c.cell[bounds[k] : bounds[k + 1]], return_index=True)
                         some.append(at[np.isin(mine, np.asarray(cells.values))] + bounds[k])
-                    some = np.concatenate(some)
-                    hashes, ends = c.windows(some)
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.astype(np.int64)))
-                    docs = np.asarray(part.column(0))[c.text[some]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.key[some]), pa.array(c.cell[some]), pa.array(docs), lists], names=["key", "cell", "doc", "hashes"])
+                    runs, offset, finer, hashes, ends = c.windows(np.concatenate(some), fine)
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes))
+                    columns = (c.key[runs], c.cell[runs], np.asarray(part.column(0))[c.text[runs]], offset, finer)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["key", "cell", "doc", "offset", "finer", "hashes"])
 
-        read = texts.select("doc", "text", "cells").mapInArrow(run, "key bigint, cell bigint, doc bigint, hashes array<bigint>")
+        read = texts.select("doc", "text", "cells").mapInArrow(run, "key bigint, cell bigint, doc bigint, offset bigint, finer bigint, hashes array<bigint>")
         read = materialize(read, "windows")
-        each = read.select("key", "cell", "doc", F.posexplode("hashes").alias("offset", "hash"))
+        finer = read.groupBy("key", "finer").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        finer = materialize(finer.where(F.col("lo") < F.col("hi")).select("key", "finer"), "finer-keys")
+        each = read.join(_bounded(finer), ["key", "finer"]).select("key", "cell", "doc", "offset", F.posexplode("hashes").alias("at", "hash"))
+        each = each.select("key", "cell", "doc", (F.col("offset") + F.col("at")).cast("int").alias("offset"), "hash")
         first = each.groupBy("key", "hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
         first = materialize(first.where(F.col("lo") < F.col("hi")).select("key", "hash", "lo"), "first-windows")
         hit = each.join(_bounded(first), ["key", "hash"]).where(F.col("doc") > F.col("lo")).select("key", "cell", "offset").distinct()
         covered = materialize(hit.groupBy("key", "cell").agg(F.collect_list("offset").alias("offsets")), "covered-windows")
-        discard(unlike, wanted, read, first)
+        discard(unlike, wanted, read, finer, first)
         return covered
 
     def _places(self, batch: DataFrame, known: DataFrame, covered: DataFrame) -> DataFrame:
         """Where the batch's documents have what is covered."""
         length, gram = self.length, self.gram
 
+        names = ["doc", "version", "key", "cell", "at", "n"]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gathered, rows = [], 0
             for batch in batches:
                 for part, texts in _slices(batch, 2):
                     c = Cells(texts, length, gram)
-                    of_text = [np.asarray(part.column(k))[c.text] for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*of_text, c.key, c.cell, c.at, c.n)], names=["doc", "version", "key", "cell", "at", "n"])
+                    gathered.append((*(np.asarray(part.column(k))[c.text] for k in (0, 1)), c.key, c.cell, c.at, c.n))
+                    rows += len(c.key)
+                    if rows > _GATHERED:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*gathered, strict=True)], names=names)
+                        gathered, rows = [], 0
+            if gathered:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*gathered, strict=True)], names=names)
 
         places = batch.select("doc", F.xxhash64("text").alias("version"), "text")
         places = places.mapInArrow(run, "doc bigint, version bigint, key bigint, cell bigint, at bigint, n bigint")
