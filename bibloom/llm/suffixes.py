@@ -340,28 +340,28 @@ class Family:
 
 def spans(places: DataFrame, length: int) -> DataFrame:
     """(doc, version, spans): the covered stretches of each text as maximal (begin, end), in order."""
-    each = places.groupBy("doc", "version").agg(F.collect_list(F.struct("at", "n", "offsets")).alias("cells"))
+    begins = F.when(F.col("offsets").isNull(), F.array("at")).otherwise(F.transform("offsets", lambda o: F.col("at") + o))
+    ends = F.when(F.col("offsets").isNull(), F.array(F.col("at") + F.col("n") + length - 1)).otherwise(F.transform("offsets", lambda o: F.col("at") + o + length))
+    each = places.select("doc", "version", begins.alias("begins"), ends.alias("ends"))
+    each = each.groupBy("doc", "version").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            found = []
-            for cells in batch.column(2):
-                begin, end = [], []
-                for c in cells.as_py():
-                    if c["offsets"] is None:
-                        begin.append(np.array([c["at"]]))
-                        end.append(begin[-1] + c["n"] + length - 1)
-                    else:
-                        begin.append(c["at"] + np.array(c["offsets"]))
-                        end.append(begin[-1] + length)
-                begin, end = np.concatenate(begin), np.concatenate(end)
-                order = np.argsort(begin, kind="stable")
-                begin, reach = begin[order], np.maximum.accumulate(end[order])
-                cut = np.flatnonzero(begin[1:] > reach[:-1])
-                firsts, lasts = begin[np.append(0, cut + 1)], reach[np.append(cut, len(begin) - 1)]
-                found.append([{"begin": b, "end": e} for b, e in zip(firsts.tolist(), lasts.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["doc", "version", "spans"])
+            # all texts of a batch on one line, each after the farthest end of those before
+            offsets = np.asarray(batch.column(2).offsets)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            begin, end = (np.asarray(batch.column(k).flatten()) for k in (2, 3))
+            far = int(end.max(initial=0)) + 1
+            order = np.lexsort((begin, row))
+            row, begin, end = row[order], begin[order] + row[order] * far, end[order] + row[order] * far
+            reach = np.maximum.accumulate(end)
+            new = np.ones(len(begin) + 1, bool)
+            new[1:-1] = (begin[1:] > reach[:-1]) | (row[1:] != row[:-1])
+            first, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+            own = row[first]
+            pairs = pa.StructArray.from_arrays([pa.array(begin[first] - own * far), pa.array(reach[last] - own * far)], names=["begin", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc", "version", "spans"])
 
     return each.mapInArrow(run, "doc bigint, version bigint, spans array<struct<begin: bigint, end: bigint>>")
 
