@@ -1 +1,26 @@
-"""Placeholder."""
+"""Queries that go through stored indexes, which they write first."""
+
+from __future__ import annotations
+
+from bibloom.functions import extract
+from bibloom.operators import search
+from bibloom.plans.adapters import bibs
+from bibloom.plans.catalog import ORACLES, register
+from bibloom.sources import indexed, iso2709
+from bibloom.storage import new_folder
+
+
+@register("search_index_topk", ORACLES["search_topk"])
+def search_index_topk(spark, sf):
+    path = new_folder(spark, "search")
+    search.write_index(search.documents(bibs(spark, sf)), path)
+    return search.search_index(spark, path, ["green", "promo"], 20).select("record_index", "marc_001", "score")
+
+
+@register("record_by_offset", "select r as record_index, f001 as id, coalesce(f245a, '') as title from (select *, row_number() over (order by k) - 1 as r from bib) where r in (0, 7, 41, 42, 150)")
+def record_by_offset(spark, sf):
+    path = new_folder(spark, "records")
+    iso2709.write(bibs(spark, sf), f"{path}.mrc")
+    indexed.write_offsets(spark, f"{path}.mrc", f"{path}.offsets")
+    found = indexed.record_at(spark, f"{path}.offsets", 0, 7, 41, 42, 150)
+    return found.select("record_index", extract.first("001").alias("id"), extract.joined("245$a").alias("title"))
