@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.functions.text import java_pattern, strip
+from bibloom.model import FIELDS, SUBFIELD
 
 
 @dataclass(frozen=True)
@@ -58,42 +61,55 @@ def _record_has(fields: Column, tag: str | None, code: str | None, value: str |
     return F.exists(fields, lambda f: (f["tag"] == tag) & (_field_has(f, code, value) if code else strip(F.coalesce(f["data"], F.lit(""))) == value))
 
 
-def apply_rules(bibs: DataFrame, rules: Sequence[Rule], tag: str = "952") -> DataFrame:
-    """Item fields with their values reconciled: each subfield by the last rule that names its
-    code and trimmed value."""
+_SEPARATOR = "\x1f"
+_ENTRY = "struct<code:string,value:string,operation:string,target:string,split:int>"
+
+
+def _rule_table(rules: Sequence[Rule]) -> tuple[Column, int, list[Rule]]:
+    """The last rule of each code and value, in buckets by their checksum; the number of buckets; the
+    rules that split, which an entry names by number.
+
+    The buckets are one constant of the plan, read from JSON when the plan is made: a look-up reads
+    one bucket of an entry or so, however many rules there are.
+    """
     last = {(r.code, v): r for r in rules for v in r.sources}
-    by_rule: dict[Rule, dict[str, list[str]]] = {}
+    splits = list(dict.fromkeys(r for r in last.values() if r.operation == "split"))
+    n = max(1, 2 * len(last))
+    buckets: list[list[dict]] = [[] for _ in range(n)]
     for (code, v), r in last.items():
-        by_rule.setdefault(r, {}).setdefault(code, []).append(v)
-
-    def matches(r: Rule, s: Column) -> Column:
-        return (s["code"] == r.code) & strip(s["value"]).isin(*by_rule[r][r.code])
-
-    def new_value(s: Column, f: Column) -> Column:
-        out = s["value"]
-        for r in by_rule:
-            if r.operation in ("rename", "merge"):
-                out = F.when(matches(r, s), F.lit(r.target)).otherwise(out)
-            elif r.operation == "split":
-                out = F.when(matches(r, s), _split(r.cases, s["value"], f, F.col("fields"))).otherwise(out)
-        return out
-
-    def any_of(some: list[Rule], s: Column) -> Column:
-        out = F.lit(False)
-        for r in some:
-            out = out | matches(r, s)
-        return out
-
-    gone_subfield = [r for r in by_rule if r.operation == "delete" and r.mode == "subfield"]
-    gone_field = [r for r in by_rule if r.operation == "delete" and r.mode == "field"]
-
-    def one(f: Column) -> Column:
-        kept = F.filter(f["subfields"], lambda s: ~any_of(gone_subfield, s))
-        changed = F.transform(kept, lambda s: s.withField("value", new_value(s, f)))
-        return F.when(f["tag"] == tag, f.withField("subfields", changed)).otherwise(f)
-
-    kept = F.filter("fields", lambda f: ~((f["tag"] == tag) & F.exists(F.coalesce(f["subfields"], F.array()), lambda s: any_of(gone_field, s))))
-    return bibs.withColumn("fields", F.transform(kept, one))
+        kind = f"delete {r.mode}" if r.operation == "delete" else "split" if r.operation == "split" else "set"
+        entry = {"code": code, "value": v, "operation": kind, "target": r.target, "split": splits.index(r) if kind == "split" else None}
+        buckets[zlib.crc32(f"{code}{_SEPARATOR}{v}".encode()) % n].append(entry)
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<array<{_ENTRY}>>"), n, splits
+
+
+def apply_rules(bibs: DataFrame, rules: Sequence[Rule], tag: str = "952") -> DataFrame:
+    """Item fields with their values reconciled: each subfield by the last rule that names its
+    code and trimmed value. Rules are data, not expressions, but for the cases of splits."""
+    table, n, splits = _rule_table(rules)
+
+    def rule(s: Column) -> Column:
+        value = strip(s["value"])
+        place = F.pmod(F.crc32(F.concat(s["code"], F.lit(_SEPARATOR), value)), F.lit(n)).cast("int")
+        return F.get(F.filter(F.get(table, place), lambda e: (e["code"] == s["code"]) & (e["value"] == value)), F.lit(0))
+
+    def new_value(s: Column, r: Column, f: Column) -> Column:
+        out = F.when(r["operation"] == "set", r["target"])
+        for k, split in enumerate(splits):
+            out = out.when(r["split"] == k, _split(split.cases, s["value"], f, F.col("fields")))
+        return out.otherwise(s["value"])
+
+    def told(f: Column) -> Column:
+        found = F.transform(F.coalesce(f["subfields"], F.array().cast(f"array<{SUBFIELD}>")), lambda s: F.struct(s.alias("s"), rule(s).alias("r")))
+        return F.struct(f.alias("f"), F.when(f["tag"] == tag, found).alias("told"))
+
+    def changed(x: Column) -> Column:
+        kept = F.filter(x["told"], lambda y: ~y["r"]["operation"].eqNullSafe(F.lit("delete subfield")))
+        subfields = F.transform(kept, lambda y: y["s"].withField("value", new_value(y["s"], y["r"], x["f"])))
+        return F.when(x["told"].isNull() | x["f"]["subfields"].isNull(), x["f"]).otherwise(x["f"].withField("subfields", subfields))
+
+    gone = lambda x: F.exists(F.coalesce(x["told"], F.array()), lambda y: y["r"]["operation"].eqNullSafe(F.lit("delete field")))
+    return bibs.withColumn("fields", F.transform(F.filter(F.transform("fields", told), lambda x: ~gone(x)), changed).cast(FIELDS))
 
 
 def coverage(values: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
