@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bibloom.functions import extract
-from bibloom.operators import profile, search
+from bibloom.operators import profile, search, versions
 from bibloom.plans import adapters
 from bibloom.plans.adapters import PATRON_SQL, bibs
-from bibloom.plans.catalog import ORACLES, register
+from bibloom.plans.catalog import ORACLES, _edited, register
 from bibloom.sources import indexed, iso2709
 from bibloom.storage import new_folder
 
@@ -56,3 +56,11 @@ def column_sketches(spark, sf):
     found = profile.merged_sketches(spark.read.parquet(path))
     order = F.array_sort("top", lambda a, b: F.when(a["count"] != b["count"], F.signum(b["count"] - a["count"])).when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(0).cast("int"))
     return found.withColumn("top", F.array_join(F.transform(order, lambda x: F.concat_ws(" ", x["item"], x["count"].cast("string"))), "; "))
+
+
+@register("version_changes", ORACLES["diff_bib_changes"])
+def version_changes(spark, sf):
+    """Two stored versions, compared where their digests differ."""
+    path = new_folder(spark, "versions")
+    old, new = (versions.save(state, path, 32) for state in (bibs(spark, sf), _edited(spark, sf)))
+    return versions.changes(spark, path, old, new)
