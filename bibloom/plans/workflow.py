@@ -190,6 +190,22 @@ def utf8_repair(spark, sf):
     return out.where("sound").groupBy("mode").agg(F.count(F.lit(1)).alias("kept"), repaired.alias("repaired"))
 
 
+@register(
+    "repair_fields",
+    "select mode, k as record_index, case when k % 3 <> 0 or f245a is null then coalesce(f245a, '') when mode = 'replace' then f245a || chr(65533) || '+' else f245a || '+' end as title, coalesce(f300a, '') as extent "
+    "from bib, (values ('skip'), ('replace'), ('transliterate')) m(mode) where mode <> 'skip' or k % 3 <> 0 or f245a is null",
+)
+def repair_fields(spark, sf):
+    """Titles with a byte of another encoding; what is mended reads back field by field."""
+    own = F.transform(F.filter("fields", lambda f: f["tag"] != "500"), lambda f: F.when((f["tag"] == "245") & (F.col("record_index") % 3 == 0), datafield("245", F.array(subfield("a", F.concat(f["subfields"][0]["value"], F.lit("~+")))))).otherwise(f))
+    raw = iso2709.encode(bibs(spark, sf).withColumn("fields", own)).select("file_id", "record_index", F.encode(F.translate("raw", "~", "é"), "ISO-8859-1").alias("raw"))
+    out = None
+    for mode in files.MODES:
+        fixed = iso2709.decode(files.repaired(raw, mode)).select(F.lit(mode).alias("mode"), "record_index", extract.joined("245$a").alias("title"), extract.joined("300$a").alias("extent"))
+        out = fixed if out is None else out.unionByName(fixed)
+    return out
+
+
 @register("split_by_value", "select case when f100a is null then '_no_value_' else left(regexp_replace(f100a, '[^a-zA-Z0-9_-]', '_', 'g'), 50) end as bucket, count(*) as n from bib group by 1")
 def split_by_value(spark, sf):
     return bibs(spark, sf).groupBy(files.bucket_of(extract.first("100$a")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibloom.functions.text import strip
+from bibloom.functions.text import ascii_fold, strip
+from bibloom.model import once
 from bibloom.operators.samples import flattened, items_of, patrons_of
 from bibloom.sources import formats, iso2709, tabular
 
@@ -124,20 +125,35 @@ def utf8_statistics(raw: DataFrame, samples: int = 5) -> DataFrame:
     return counts.withColumn("bad_indices", F.array_join(first, ","))
 
 
+MODES = ("skip", "replace", "transliterate")
+
+
 def repaired(raw: DataFrame, mode: str) -> DataFrame:
-    """Raw records without bad ones (skip), with U+FFFD in the place of what can't be read
-    (replace), or with bad ones reduced to ASCII letters (transliterate); others stay as they are.
-    Lengths in leader and directory are those of before: decode and encode the records to renew
-    them."""
+    """(file_id, record_index, raw, mended): raw records without bad ones (skip), with U+FFFD in the
+    place of what can't be read (replace), or with bad ones reduced to ASCII letters (transliterate);
+    others stay as they are, byte for byte.
+
+    A bad record is cut by its old directory, each field is mended, and directory and leader are made
+    anew, as the lengths change. Bad records that can't be cut, or are too long for the format then,
+    are left out.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    columns = ["file_id", "record_index", "raw", "mended"]
     text = F.col("raw").cast("binary").cast("string")
-    good = F.is_valid_utf8(text)
-    valid = F.make_valid_utf8(text)
+    good = raw.where(F.is_valid_utf8(text)).withColumns({"raw": text, "mended": F.lit(False)}).select(*columns)
     if mode == "skip":
-        return raw.where(good)
-    if mode == "replace":
-        return raw.withColumn("raw", valid)
-    if mode != "transliterate":
-        raise ValueError(f"unknown mode {mode!r}")
-    from bibloom.functions.text import ascii_fold
-
-    return raw.where(good).withColumn("raw", text).unionByName(raw.where(~good).withColumn("raw", ascii_fold(valid)))
+        return good
+    cut = iso2709.directories(raw.where(~F.is_valid_utf8(text)))
+    body = lambda d: F.make_valid_utf8(F.substring(F.col("b"), F.col("base") + d["at"] + 1, d["size"] - 1).cast("string"))
+    # one text for all fields, which their end marks part
+    whole = F.array_join(F.transform("directory", lambda d: F.translate(body(d), "\x1e", "")), "\x1e")
+    cut = cut.withColumn("whole", whole)
+    if mode == "transliterate":
+        cut = cut.withColumn("whole", ascii_fold("whole"))
+    mended = F.arrays_zip(F.col("directory.tag").alias("tag"), F.split("whole", "\x1e").alias("text"))
+    bodies = F.transform(F.when(F.size("directory") > 0, mended), lambda x: F.struct(x["tag"].alias("tag"), F.concat(x["text"], F.lit("\x1e")).alias("text")))
+    leader = F.make_valid_utf8(F.substring("b", 1, 24).cast("string"))
+    rows = cut.select("file_id", "record_index", leader.alias("leader"), F.coalesce(bodies, F.array().cast("array<struct<tag:string,text:string>>")).alias("bodies"))
+    made = iso2709.assembled(rows.withColumn("bodies", once(F.col("bodies")))).where(~F.col("oversize"))
+    return good.unionByName(made.withColumn("mended", F.lit(True)).select(*columns))

@@ -35,11 +35,12 @@ def _text(b: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(b.cast("string")), _CONTROL, "")
 
 
-def decode(raw: DataFrame) -> DataFrame:
-    """Records of raw ones; those whose leader or directory can't be read are left out. Bytes that
-    aren't UTF-8 are replaced and control characters removed."""
+def directories(raw: DataFrame) -> DataFrame:
+    """Raw records with their bytes (b), the place where data begins (base) and the directory, as an
+    array of tag, size and at; those whose leader or directory can't be read are left out."""
     data = F.col("raw").cast("binary")
-    bytes_ = raw.withColumn("b", once(data)).withColumn("base", F.substring(F.col("raw"), 13, 5).try_cast("int"))
+    base = F.substring(data, 13, 5).cast("string").try_cast("int")
+    bytes_ = raw.withColumn("b", once(data)).withColumn("base", base)
     bytes_ = bytes_.where((F.octet_length("b") >= 25) & F.col("base").between(25, F.octet_length("b")))
     entries = bytes_.withColumn("entries", F.floor((F.col("base") - 25) / 12).cast("int"))
     directory = F.transform(
@@ -51,7 +52,13 @@ def decode(raw: DataFrame) -> DataFrame:
         ),
     )
     sound = F.forall("directory", lambda d: d["size"].isNotNull() & d["at"].isNotNull() & (F.col("base") + d["at"] + d["size"] <= F.octet_length("b") + 1))
-    parsed = entries.withColumn("directory", once(directory)).where(sound)
+    return entries.withColumn("directory", once(directory)).where(sound).drop("entries")
+
+
+def decode(raw: DataFrame) -> DataFrame:
+    """Records of raw ones; those whose leader or directory can't be read are left out. Bytes that
+    aren't UTF-8 are replaced and control characters removed."""
+    parsed = directories(raw)
 
     def field(d: Column) -> Column:
         body = F.substring(F.col("b"), F.col("base") + d["at"] + 1, d["size"] - 1)
@@ -78,6 +85,12 @@ def encode(bibs: DataFrame) -> DataFrame:
     """(file_id, record_index, raw, oversize) without end marks; oversize records exceed what a
     directory can say and must not be written."""
     bodies = bibs.withColumn("bodies", once(F.transform("fields", lambda f: F.struct(f["tag"].alias("tag"), F.concat(_body(f), F.lit("\x1e")).alias("text")))))
+    return assembled(bodies).select("file_id", "record_index", "raw", "oversize")
+
+
+def assembled(bodies: DataFrame) -> DataFrame:
+    """The columns raw and oversize for rows with a leader and bodies, an array of tags and texts
+    that end in 0x1E: the directory and the lengths in the leader are made anew."""
     sizes = bodies.withColumn("sizes", once(F.transform("bodies", lambda x: F.octet_length(x["text"]))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
@@ -86,15 +99,15 @@ def encode(bibs: DataFrame) -> DataFrame:
         line = F.concat(F.get(F.col("bodies"), k)["tag"], F.lpad(size.cast("string"), 4, "0"), F.lpad(acc["at"].cast("string"), 5, "0"))
         return F.struct((acc["at"] + size).alias("at"), F.concat(acc["text"], line).alias("text"))
 
-    places = F.when(F.size("fields") > 0, F.sequence(F.lit(0), F.size("fields") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.when(F.size("bodies") > 0, F.sequence(F.lit(0), F.size("bodies") - 1)).otherwise(F.array().cast("array<int>"))
     made = sizes.withColumn("dir", once(F.aggregate(places, start, entry)))
-    base = 25 + 12 * F.size("fields")
+    base = 25 + 12 * F.size("bodies")
     length = base + F.col("dir.at") + 1
     leader = F.rpad(F.coalesce("leader", F.lit("")), 24, " ")
     head = F.concat(F.lpad(length.cast("string"), 5, "0"), F.substring(leader, 6, 7), F.lpad(base.cast("string"), 5, "0"), F.substring(leader, 18, 7))
     raw = F.concat(head, F.col("dir.text"), F.lit("\x1e"), F.array_join(F.transform("bodies", lambda x: x["text"]), ""))
     oversize = (length > RECORD_BYTES) | F.exists("sizes", lambda n: n > FIELD_BYTES)
-    return made.select("file_id", "record_index", raw.alias("raw"), oversize.alias("oversize"))
+    return made.withColumns({"raw": raw, "oversize": oversize}).drop("sizes", "dir")
 
 
 def write(bibs: DataFrame, path: str) -> None:

@@ -118,3 +118,20 @@ def test_bad_bytes(spark):
     assert [files.repaired(damaged, m).count() for m in ("skip", "replace", "transliterate")] == [4, 5, 5]
     with pytest.raises(ValueError):
         files.repaired(damaged, "other")
+
+
+def test_mended_records_are_whole(spark):
+    """Leader, directory and fields of what was mended, and others byte for byte."""
+    broken = spark.createDataFrame([("f", 0, bytearray(b"00030nam a22000xxx a 4500 \xff rest")), ("f", 1, bytearray(b"\xff"))], "file_id string, record_index long, raw binary")
+    assert [files.repaired(broken, m).count() for m in files.MODES] == [0, 0, 0]
+    bibs = records(spark).withColumn("fields", F.transform("fields", lambda f: F.when(f["tag"] == "001", f.withField("data", F.concat(f["data"], F.lit("~")))).otherwise(f)))
+    raw = iso2709.encode(bibs).select("file_id", "record_index", F.encode(F.translate("raw", "~", "é"), "ISO-8859-1").alias("raw"))
+    for mode, end in (("replace", "\ufffd"), ("transliterate", "")):
+        fixed = files.repaired(raw, mode)
+        for r in fixed.collect():
+            data = r["raw"].encode()
+            assert r["mended"] and int(data[:5]) == len(data) + 1 and data[int(data[12:17]) - 1 : int(data[12:17])] == b"\x1e"
+        assert {(r["record_index"], r["fields"][0]["data"], r["fields"][1]["subfields"][0]["value"]) for r in iso2709.decode(fixed).collect()} == {(k, f"p{k}{end}", f"Name {k} ") for k in range(5)}
+    assert files.repaired(raw, "skip").count() == 0
+    good = iso2709.encode(records(spark)).select("file_id", "record_index", "raw")
+    assert {tuple(r) for r in files.repaired(good, "replace").select("record_index", "raw").collect()} == {tuple(r) for r in good.select("record_index", "raw").collect()}
