@@ -6,6 +6,7 @@ Formats are told by what Spark reads of the beginning of a file, so any store wi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from bibloom.functions.text import ascii_fold, strip
 from bibloom.model import once
 from bibloom.operators.samples import flattened, items_of, patrons_of
-from bibloom.sources import formats, iso2709, tabular
+from bibloom.sources import delimited, formats, iso2709, tabular
 
 #: Files of the steps in the order in which each kind of step takes its source (fixed values).
 SOURCE_ORDER = {
@@ -69,13 +70,15 @@ def read_items(spark: SparkSession, path: str, key: str, kind: str | None = None
         bibs = iso2709.read(spark, path)
         names = [r[0] for r in flattened(bibs).select(F.explode(F.map_keys("cells"))).distinct().orderBy("col").collect()]  # as many as columns
         return items_of(bibs, key, [n for n in names if n != key])
-    rows = tabular.read_json_rows(spark, path) if kind == "json" else tabular.read_delimited(spark, path)
+    rows = tabular.read_json_rows(spark, path) if kind == "json" else delimited.read(spark, path)
     keyed = rows.withColumn("_key", strip(F.col(f"`{key}`").cast("string")))
     return keyed.where(F.col("_key") != "").drop(key).withColumnRenamed("_key", "key")
 
 
-def read_patrons(spark: SparkSession, path: str, row_tag: str = "patron", tags: dict[str, str] | None = None) -> DataFrame:
-    """Patron rows by the file's ending: record files, XML, JSON, else delimited text."""
+def read_patrons(spark: SparkSession, path: str, row_tag: str | None = None, tags: dict[str, str] | None = None, **text: Any) -> DataFrame:
+    """Patron rows by the file's ending: record files, XML, JSON, else delimited text, whose header
+    is the first line of three cells or more unless ``text``, settings of ``delimited.read``, say
+    otherwise."""
     ending = path.rsplit(".", 1)[-1].lower()
     if ending in ("mrc", "marc"):
         return patrons_of(iso2709.read(spark, path), tags)
@@ -83,7 +86,7 @@ def read_patrons(spark: SparkSession, path: str, row_tag: str = "patron", tags:
         return tabular.read_xml_rows(spark, path, row_tag)
     if ending == "json":
         return tabular.read_json_rows(spark, path)
-    return tabular.read_delimited(spark, path)
+    return delimited.read(spark, path, **{"header": True, "min_columns": 3, **text})
 
 
 def resolve_source(found: Sequence[str], step: str, explicit: str | None = None) -> str | None:

@@ -9,6 +9,7 @@ import csv
 import io
 import re
 from collections.abc import Sequence
+from xml.etree.ElementTree import ParseError, XMLPullParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from bibloom.functions.text import strip
 
 #: Lines that are looked at to find delimiter and header.
 HEAD = 50
+#: What is looked at of an XML file to find its rows.
+XML_LINES, XML_BYTES = 20_000, 1 << 20
 
 
 def head(spark: SparkSession, path: str, lines: int = HEAD) -> list[str]:
@@ -63,8 +66,34 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_xml_rows(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    """The children of each element as strings."""
+def frequent_child(head: str) -> str | None:
+    """The commonest name of the root's children in the beginning of a document, without its
+    namespace; of equally common ones the first."""
+    parser, depth, names = XMLPullParser(["start", "end"]), 0, []
+    try:
+        parser.feed(head)
+        for event, element in parser.read_events():
+            if event == "start":
+                depth += 1
+                if depth == 2:
+                    names.append(element.tag.rpartition("}")[2])
+            else:
+                depth -= 1
+                if depth == 1:
+                    element.clear()
+    except ParseError:  # what came before counts
+        pass
+    return max(dict.fromkeys(names), key=names.count, default=None)
+
+
+def read_xml_rows(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """The children of each element of a name as strings; where no name is given, of the commonest
+    one below the root in the first million bytes or so."""
+    if row_tag is None:
+        lines = spark.read.option("lineSep", "\n").text(path).limit(XML_LINES).select(F.substring("value", 1, XML_BYTES).alias("value"))
+        row_tag = frequent_child("\n".join(r["value"] for r in lines.collect())[:XML_BYTES])
+        if row_tag is None:
+            raise ValueError(f"no elements below the root of {path}")
     return spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", "false").option("ignoreNamespace", "true").load(path)
 
 
