@@ -109,17 +109,60 @@ def macro(*edits: Edit) -> Edit:
 
 # ---- content, media and carrier types; fixed values of the cataloguing rules
 
+#: Term and code of the content by the type of record (leader, byte 6).
 CONTENT = {
-    "a": ("text", "txt"), "t": ("text", "txt"), "p": ("text", "txt"), "c": ("notated music", "ntm"), "d": ("notated music", "ntm"),
-    "e": ("cartographic image", "cri"), "f": ("cartographic image", "cri"), "g": ("two-dimensional moving image", "tdi"),
-    "i": ("spoken word", "spw"), "j": ("performed music", "prm"), "k": ("still image", "sti"), "m": ("computer program", "cop"),
-    "o": ("other", "xxx"), "r": ("three-dimensional form", "tdf"),
-}
-MEDIA = {"g": ("video", "v"), "i": ("audio", "s"), "j": ("audio", "s"), "m": ("computer", "c")}
+    "a": ("text", "txt"),
+    "c": ("notated music", "ntm"),
+    "d": ("notated music", "ntm"),
+    "e": ("cartographic image", "cri"),
+    "f": ("cartographic image", "cri"),
+    "g": ("two-dimensional moving image", "tdi"),
+    "i": ("spoken word", "spw"),
+    "j": ("performed music", "prm"),
+    "k": ("still image", "sti"),
+    "m": ("computer program", "cop"),
+    "o": ("other", "xxx"),
+    "p": ("text", "txt"),
+    "r": ("three-dimensional form", "tdf"),
+    "t": ("text", "txt"),
+}
+#: Term and code of the medium by the type of record.
+MEDIA = {
+    "a": ("unmediated", "n"),
+    "c": ("unmediated", "n"),
+    "d": ("unmediated", "n"),
+    "e": ("unmediated", "n"),
+    "f": ("unmediated", "n"),
+    "g": ("video", "v"),
+    "i": ("audio", "s"),
+    "j": ("audio", "s"),
+    "k": ("unmediated", "n"),
+    "m": ("computer", "c"),
+    "o": ("unmediated", "n"),
+    "p": ("unmediated", "n"),
+    "r": ("unmediated", "n"),
+    "t": ("unmediated", "n"),
+}
+#: Term and code of the carrier by the type of record and bibliographic level (leader, bytes 6 and 7).
 CARRIER = {
-    **dict.fromkeys(("am", "as", "ab", "tm", "cm", "dm", "om", "pm"), ("volume", "nc")), **dict.fromkeys(("ai", "mm"), ("online resource", "cr")),
-    **dict.fromkeys(("em", "fm", "km"), ("sheet", "nb")), "gm": ("videodisc", "vd"), **dict.fromkeys(("im", "jm"), ("audio disc", "sd")), "rm": ("object", "nr"),
-}
+    "ab": ("volume", "nc"),
+    "ai": ("online resource", "cr"),
+    "am": ("volume", "nc"),
+    "as": ("volume", "nc"),
+    "cm": ("volume", "nc"),
+    "dm": ("volume", "nc"),
+    "em": ("sheet", "nb"),
+    "fm": ("sheet", "nb"),
+    "gm": ("videodisc", "vd"),
+    "im": ("audio disc", "sd"),
+    "jm": ("audio disc", "sd"),
+    "km": ("sheet", "nb"),
+    "mm": ("online resource", "cr"),
+    "om": ("volume", "nc"),
+    "pm": ("volume", "nc"),
+    "rm": ("object", "nr"),
+    "tm": ("volume", "nc"),
+}
 
 
 def _terms(table: dict[str, tuple[str, str]], *keys: Column, default: tuple[str, str]) -> tuple[Column, Column]:

@@ -236,13 +236,22 @@ def running_tasks(tables: Sequence[DataFrame], now: Column) -> DataFrame:
     return both.where(F.col("status") == "running").select("task_id", "kind", lasted).orderBy(F.col("duration_sec").desc_nulls_last(), "task_id")
 
 
+def task_history(tables: Sequence[DataFrame], statuses: Sequence[str] = ("done", "failed"), offset: int = 0, limit: int = 50) -> DataFrame:
+    """(task_id, kind, status, started_at, finished_at, duration_sec) of what has ended in any of
+    several tables, the latest beginnings first, one page of it."""
+    both = reduce(lambda a, b: a.unionByName(b), (t.select("task_id", "kind", "status", "started_at", "finished_at") for t in tables))
+    lasted = (F.unix_timestamp("finished_at") - F.unix_timestamp("started_at")).alias("duration_sec")
+    return both.where(F.col("status").isin(*statuses)).select("*", lasted).orderBy(F.col("started_at").desc_nulls_last(), "task_id").offset(offset).limit(limit)
+
+
 #: Limits of the alerts (fixed values): tasks that wait, seconds of a long and of a hung task.
 BACKLOG, LONG_SECONDS, HUNG_SECONDS = 50, 1800, 3600
 
 
-def alerts(queues: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(severity, kind, subject, amount): queues (queue, depth) that are too deep, and running
-    tasks (task_id, duration_sec) that are hung or long."""
+def alerts(queues: DataFrame, tasks: DataFrame, workers: DataFrame | None = None) -> DataFrame:
+    """(severity, kind, subject, amount): queues (queue, depth) that are too deep, running tasks
+    (task_id, duration_sec) that are hung or long, and, where ``workers`` are given, that there are
+    none."""
     deep = queues.where(F.col("depth") > BACKLOG).select(F.lit("warn").alias("severity"), F.lit("queue_backlog").alias("kind"), F.col("queue").cast("string").alias("subject"), F.col("depth").cast("long").alias("amount"))
     hung = F.col("duration_sec") > HUNG_SECONDS
     slow = tasks.where(F.col("duration_sec") > LONG_SECONDS).select(
@@ -251,7 +260,11 @@ def alerts(queues: DataFrame, tasks: DataFrame) -> DataFrame:
         F.col("task_id").cast("string").alias("subject"),
         F.col("duration_sec").cast("long").alias("amount"),
     )
-    return deep.unionByName(slow)
+    found = deep.unionByName(slow)
+    if workers is None:
+        return found
+    none = workers.agg(F.count(F.lit(1)).alias("amount")).where(F.col("amount") == 0)
+    return found.unionByName(none.select(F.lit("critical").alias("severity"), F.lit("no_workers").alias("kind"), F.lit(None).cast("string").alias("subject"), "amount"))
 
 
 # ---- plugins

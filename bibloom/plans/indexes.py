@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from bibloom.functions import extract
 from bibloom.operators import profile, search, versions
 from bibloom.plans import adapters
-from bibloom.plans.adapters import PATRON_SQL, bibs
+from bibloom.plans.adapters import PATRON_SQL, bibs, table
 from bibloom.plans.catalog import ORACLES, _edited, register
-from bibloom.sources import indexed, iso2709
+from bibloom.sources import delimited, indexed, iso2709
 from bibloom.storage import new_folder
 
 
@@ -64,3 +64,12 @@ def version_changes(spark, sf):
     path = new_folder(spark, "versions")
     old, new = (versions.save(state, path, 32) for state in (bibs(spark, sf), _edited(spark, sf)))
     return versions.changes(spark, path, old, new)
+
+
+@register("delimited_scan", "with c as (select * from customer) select cast(c_custkey as varchar) as id, c_name || chr(10) || 'c/o ' || c_mktsegment || ', \"x\"' as address, case when c_custkey % 3 = 0 then '' else c_mktsegment end as segment from c")
+def delimited_scan(spark, sf):
+    """Text with quoted line breaks, delimiters and quotes, written and found out again."""
+    path = new_folder(spark, "delimited")
+    cells = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit("\nc/o "), "c_mktsegment", F.lit(', ""x"""')), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")))
+    table(spark, sf, "customer").select(cells).write.text(path)
+    return delimited.read(spark, path, header=False, delimiter=";").toDF("id", "address", "segment")

@@ -430,6 +430,32 @@ def alerts(spark, sf):
     return review.alerts(queues, _tasks(spark, sf))
 
 
+@register("task_history", "with o as (select cast(o_orderkey as varchar) as task_id, o_orderstatus as kind, case o_orderkey % 3 when 0 then 'done' when 1 then 'failed' else 'running' end as status, o_orderdate as started_at, o_orderdate + interval 1 minute * (o_orderkey % 50) as finished_at from orders), h as (select * from o where status <> 'running') select task_id, kind, status, cast(epoch(finished_at) - epoch(started_at) as bigint) as duration_sec from h order by started_at desc, task_id limit 40 offset 10")
+def task_history(spark, sf):
+    o = table(spark, sf, "orders")
+    status = F.when(F.col("o_orderkey") % 3 == 0, "done").when(F.col("o_orderkey") % 3 == 1, "failed").otherwise("running")
+    finished = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 60 * (F.col("o_orderkey") % 50))
+    rows = o.select(F.col("o_orderkey").cast("string").alias("task_id"), F.col("o_orderstatus").alias("kind"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"), finished.alias("finished_at"))
+    return review.task_history([rows.where("kind = 'O'"), rows.where("kind <> 'O'")], offset=10, limit=40).drop("started_at", "finished_at")
+
+
+@register("error_count", "with e as (select * from events) select count(*) as errors from e where event_type = 'error' and ts >= timestamp '2024-01-29 12:00:00'")
+def error_count(spark, sf):
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    return audit.error_count(table(spark, sf, "events"), now, 24, "ts", "event_type")
+
+
+@register(
+    "stalled_tasks",
+    "with l as (select cast(user_id as varchar) as task_id, arg_max(event_type, ts) as kind, max(ts) as last_at from events group by 1) "
+    "select task_id, kind, cast(epoch(timestamp '2024-01-31') - floor(epoch(last_at)) as bigint) as quiet_sec from l where kind <> 'purchase' and epoch(timestamp '2024-01-31') - floor(epoch(last_at)) > 86400",
+)
+def stalled_tasks(spark, sf):
+    """Users as tasks that end with a purchase."""
+    log = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", "done").otherwise("running").alias("status"))
+    return audit.stalled_tasks(log, F.lit("2024-01-31").cast("timestamp"), 86400).drop("last_at")
+
+
 @register("diff_first_changes", _STATES + ", l as (select f001, max_by(c, k) as c, max_by(struct_pack(l := leader, k := k, s := s, a := f245a, t := p_type, n := p_brand), k) as r from later group by 1) select o.f001 as marc_001 from o join l on o.f001 = l.f001 where l.c <> o.r.t or o.r.k <> l.r.k order by 1 limit 100")
 def diff_first_changes(spark, sf):
     return review.first_changes(tables.record_changes(bibs(spark, sf), _edited(spark, sf))).select("marc_001")

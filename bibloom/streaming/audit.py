@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def follow(spark: SparkSession, folder: str, schema: T.StructType, files_at_a_time: int = 50) -> DataFrame:
@@ -51,3 +55,55 @@ def recent_summary(events: DataFrame, since: str, time: str = "ts", kind: str =
     """(kind, n, latest) of events since a time, the most frequent first."""
     some = events.where(F.col(time) >= F.lit(since).cast("timestamp"))
     return some.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("latest")).orderBy(F.col("n").desc(), kind)
+
+
+def error_count(events: DataFrame, now: Column, hours: int = 24, time: str = "created_at", level: str = "level") -> DataFrame:
+    """One row: events of level error in the last hours before ``now``, its beginning included."""
+    since = now - F.make_dt_interval(F.lit(0), F.lit(hours))
+    return events.agg(F.count_if((F.col(level) == "error") & (F.col(time) >= since)).alias("errors"))
+
+
+# ---- tasks that went quiet
+
+def stalled_tasks(events: DataFrame, now: Column, quiet_sec: int = 3600) -> DataFrame:
+    """(task_id, kind, last_at, quiet_sec) of the tasks in a log (task_id, kind, at, status) whose last
+    event isn't their end (status done or failed) and is longer ago than ``quiet_sec`` at ``now``."""
+    last = events.groupBy("task_id").agg(F.max_by(F.struct("kind", "status", "at"), F.struct("at", "status")).alias("e"))
+    quiet = F.unix_timestamp(now) - F.unix_timestamp("e.at")
+    return last.where(~F.col("e.status").isin(*ENDS) & (quiet > quiet_sec)).select("task_id", "e.kind", F.col("e.at").alias("last_at"), quiet.alias("quiet_sec"))
+
+
+#: Statuses after which a task says nothing more.
+ENDS = ("done", "failed")
+
+
+def watch_stalled(events: DataFrame, quiet_sec: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """(task_id, kind, last_at) of a stream, as it happens: a row once the watermark has passed a task's last event by
+    ``quiet_sec``, without the log being read again. A task that speaks again is watched anew.
+
+    State is the last event of each task that hasn't ended; ended and reported ones are forgotten.
+    """
+    timed = _timed(events, "at", late)
+    timed = timed.withColumn("micros", F.unix_micros(F.col("at").cast("timestamp")))
+
+    def follow_one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            kind, at = state.get
+            state.remove()
+            yield pd.DataFrame({"task_id": [key[0]], "kind": [kind], "micros": [at]})
+            return
+        last = state.get if state.exists else (None, -1)
+        ended = False
+        for batch in batches:
+            for kind, at, status in zip(batch["kind"], batch["micros"], batch["status"], strict=True):
+                if at >= last[1]:
+                    last, ended = (kind, int(at)), status in ENDS
+        if ended:
+            state.remove()
+        else:
+            state.update(last)
+            # a time that the watermark has passed already can't be waited for: the next one is
+            state.setTimeoutTimestamp(max(last[1] // 1000 + quiet_sec * 1000, state.getCurrentWatermarkMs() + 1))
+
+    found = timed.groupBy("task_id").applyInPandasWithState(follow_one, "task_id string, kind string, micros bigint", "kind string, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("task_id", "kind", F.timestamp_micros("micros").alias("last_at"))

@@ -1,5 +1,7 @@
 """Files, versions and reviews that need no tables of the catalogue."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from bibloom.operators import review
 from bibloom.operators.fieldmaps import FieldMap
 from bibloom.operators.samples import strings_by_tag
 from bibloom.sources import files, iso2709, tabular
+from bibloom.streaming import audit
 
 
 def records(spark, n=5):
@@ -135,3 +138,33 @@ def test_mended_records_are_whole(spark):
     assert files.repaired(raw, "skip").count() == 0
     good = iso2709.encode(records(spark)).select("file_id", "record_index", "raw")
     assert {tuple(r) for r in files.repaired(good, "replace").select("record_index", "raw").collect()} == {tuple(r) for r in good.select("record_index", "raw").collect()}
+
+
+def test_stalled_tasks_of_a_stream(spark, tmp_path):
+    """A task that goes quiet is reported once the log has gone on; ended and lively ones aren't."""
+    schema = "task_id string, kind string, at timestamp, status string"
+    at = lambda h, m=0: datetime.datetime(2024, 5, 1, h, m)
+    days = [
+        [("quiet", "push", at(8), "running"), ("ended", "push", at(8), "running"), ("lively", "scan", at(8), "running"), ("failed", "scan", at(8), "running")],
+        [("ended", "push", at(8, 30), "done"), ("failed", "scan", at(8, 20), "failed"), ("lively", "scan", at(9), "running"), ("quiet", "late", at(7, 59), "running")],
+        [("lively", "scan", at(9, 50), "running"), ("other", "x", at(9, 55), "running")],
+        [("lively", "scan", at(10, 40), "done"), ("other", "x", at(10, 45), "running")],
+        [("quiet", "push", at(10, 50), "running")],
+    ]
+    for k, rows in enumerate(days):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log/day={k}")
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log")
+    found = audit.watch_stalled(log, 3600)
+    q = found.writeStream.format("memory").queryName("stalled").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck").start()
+    q.awaitTermination(240)
+    assert [(r["task_id"], r["kind"], r["last_at"]) for r in spark.table("stalled").collect()] == [("quiet", "push", at(8))]
+    whole = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(f"{tmp_path}/log")
+    now = F.lit("2024-05-01 11:48:00").cast("timestamp")
+    assert {(r["task_id"], r["quiet_sec"]) for r in audit.stalled_tasks(whole, now).collect()} == {("other", 3780)}
+
+
+def test_alerts_and_history(spark):
+    none = spark.createDataFrame([], "queue string, depth int")
+    tasks = spark.createDataFrame([("a", 4000)], "task_id string, duration_sec int")
+    assert [tuple(r) for r in review.alerts(none, tasks, none).orderBy("kind").collect()] == [("critical", "hung_task", "a", 4000), ("critical", "no_workers", None, 0)]
+    assert review.alerts(none, tasks, tasks).count() == 1
