@@ -19,8 +19,12 @@ from pyspark.sql import types as T
 Converter = Callable[[Column], Column]
 
 
+#: What counts as white space at the ends of a value (fixed values).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(v: Column) -> Column:
-    return F.regexp_replace(v, r"^\s+|\s+$", "")
+    return F.btrim(v, F.lit(SPACES))
 
 
 def _dated(v: Column, pattern: str, *parts: str | int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from bibloom.functions import extract
 from bibloom.functions.text import strip
-from bibloom.model import FIELDS, datafield, subfield
+from bibloom.model import FIELDS, datafield, once, subfield
 
 #: Item columns (in lower case) and the subfield each goes to (fixed values of the format).
 ITEM_COLUMNS = {
@@ -20,15 +20,26 @@ ITEM_COLUMNS = {
 }
 
 
+def _subfields(columns: Sequence[str], mapping: dict[str, str] | None, constants: dict[str, str] | None) -> Column:
+    """Trimmed values, empty ones too, then constants."""
+    pairs = [(c, mapping[c]) for c in columns if c in mapping] if mapping else [(c, ITEM_COLUMNS[c.lower()]) for c in columns if c.lower() in ITEM_COLUMNS]
+    subs = [subfield(code, strip(F.col(c).cast("string"))) for c, code in pairs]
+    subs += [subfield(code, F.lit(value)) for code, value in (constants or {}).items()]
+    return F.array(*subs) if subs else F.array().cast("array<struct<code:string,value:string>>")
+
+
+def _field(subfields: Column) -> Column:
+    """The 952 field of the subfields that aren't empty, null if none; they are bound by a lambda, so
+    that they are made once."""
+    kept = F.filter(subfields, lambda s: s["value"] != "")
+    return F.get(F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, datafield("952", k))), F.lit(0))
+
+
 def item_field(columns: Sequence[str], mapping: dict[str, str] | None = None, constants: dict[str, str] | None = None) -> Column:
     """An item row as a field: trimmed values that aren't empty, then constants; null if none.
 
     A mapping of one's own names columns exactly, the default one in any case."""
-    pairs = [(c, mapping[c]) for c in columns if c in mapping] if mapping else [(c, ITEM_COLUMNS[c.lower()]) for c in columns if c.lower() in ITEM_COLUMNS]
-    subs = [subfield(code, strip(F.col(c).cast("string"))) for c, code in pairs]
-    subs += [subfield(code, F.lit(value)) for code, value in (constants or {}).items()]
-    kept = F.filter(F.array(*subs), lambda s: s["value"] != "") if subs else F.array().cast("array<struct<code:string,value:string>>")
-    return F.when(F.size(kept) > 0, datafield("952", kept))
+    return _field(_subfields(columns, mapping, constants))
 
 
 def attach_items(bibs: DataFrame, items: DataFrame, key: str, order: Sequence[str], match_spec: str = "001", mapping: dict[str, str] | None = None, constants: dict[str, str] | None = None, need_001: bool = False) -> DataFrame:
@@ -38,7 +49,10 @@ def attach_items(bibs: DataFrame, items: DataFrame, key: str, order: Sequence[st
     Only keys and item fields are shuffled to each other; a record's own fields join its
     collected items by record index. Records without items stay as they are.
     """
-    built = items.select(strip(F.col(key).cast("string")).alias("_key"), F.struct(*order).alias("_order"), item_field([c for c in items.columns if c != key], mapping, constants).alias("_item"))
+    # the values in one step, which is compiled; the functions on arrays in the next, which aren't
+    own = once(_subfields([c for c in items.columns if c != key], mapping, constants))
+    built = items.select(once(strip(F.col(key).cast("string"))).alias("_key"), F.struct(*order).alias("_order"), own.alias("_item"))
+    built = built.withColumn("_item", once(_field(F.col("_item"))))
     built = built.where((F.col("_key") != "") & F.col("_item").isNotNull())
     probed = bibs.where(extract.has_tag("001")) if need_001 else bibs
     keys = probed.select("file_id", "record_index", F.posexplode_outer(F.transform(extract.values(match_spec), strip)).alias("_nth", "_key"))
@@ -55,12 +69,17 @@ def sorted_fields(fields: Column | str = "fields") -> Column:
 
     def by_code(f: Column) -> Column:
         code = lambda s: F.coalesce(s["code"], F.lit(""))
-        rank = lambda s: F.when(code(s) == "", 3).when(code(s).rlike("^[0-9]"), 0).when(code(s).rlike(r"^\p{L}"), 1).otherwise(2)
+
+        def rank(s: Column) -> Column:
+            c = F.lower(F.substring(code(s), 1, 1))
+            plain = F.when(c == "", 3).when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c < "\x80", 2)
+            return plain.when(c.rlike(r"\p{L}"), 1).otherwise(2)  # patterns only for what isn't ASCII
+
         keyed = F.transform(f["subfields"], lambda s, i: F.struct(rank(s), F.lower(code(s)), i, s.alias("s")))
         return f.withField("subfields", F.transform(F.sort_array(keyed), lambda k: k["s"]))
 
     keyed = F.transform(fields, lambda f, i: F.struct(f["tag"].alias("tag"), i.alias("i"), by_code(f).alias("f")))
-    return F.transform(F.array_sort(keyed, lambda x, y: F.when(x["tag"] < y["tag"], -1).when(x["tag"] > y["tag"], 1).when(x["i"] < y["i"], -1).otherwise(1)), lambda k: k["f"])
+    return F.transform(F.sort_array(keyed), lambda k: k["f"])  # no two have one tag and place
 
 
 def union_files(files: Sequence[DataFrame]) -> DataFrame:
