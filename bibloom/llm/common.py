@@ -165,6 +165,17 @@ def map_batches(
     return df.mapInArrow(run, out)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that a column has already, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def once(x: Column, never: int = 0) -> Column:
     """The same values, computed in one place: Catalyst doesn't put an expression that isn't
     deterministic in the place of its mentions. ``never`` doesn't occur; it tells that nulls don't."""

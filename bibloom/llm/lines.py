@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibloom.llm.common import bounded, discard, materialize, once
+from bibloom.llm.common import bounded, discard, fresh, materialize, once
 from bibloom.llm.linking import Match, colliding, linked_components
 
 #: Characters of a shingle: one changed character breaks so many of a line's.
@@ -167,21 +167,22 @@ def repeats(lines: DataFrame, components: DataFrame) -> DataFrame:
 def without_lines(df: DataFrame, gone: DataFrame, id_col: str, text: str) -> DataFrame:
     """The rows of ``df`` without the lines at (doc, version, place), with n_lines and n_removed."""
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    by_doc = gone.groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_set("place").alias("_gone"))
+    doc, version, places = fresh(df, "_doc", "_version", "_gone")
+    by_doc = gone.groupBy(F.col("doc").alias(doc), F.col("version").alias(version)).agg(F.collect_set("place").alias(places))
     by_doc = materialize(by_doc, "removed-places")
-    own = (F.col(id_col) == F.col("_doc")) & (F.xxhash64(text) == F.col("_version"))
-    joined = df.select(*keep).join(bounded(by_doc, F.size("_gone") + 2), own, "left").drop("_doc", "_version")
+    own = (F.col(id_col) == F.col(doc)) & (F.xxhash64(text) == F.col(version))
+    joined = df.select(*keep).join(bounded(by_doc, F.size(places) + 2), own, "left").drop(doc, version)
 
     def left(parts: Column) -> Column:
-        places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-        return F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(places))
+        return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
 
     # the lines are bound by a lambda, so that a text is split once
     split = F.split(text, "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.get(F.transform(F.array(split), left), 0))
+    new = F.when(F.col(places).isNull(), F.col(text)).otherwise(F.get(F.transform(F.array(split), left), 0))
     blank = F.size(F.filter(split, lambda line: F.trim(line) == ""))
     return joined.select(
         *(new.alias(c) if c == text else F.col(c) for c in keep),
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split) - blank).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -495,7 +495,8 @@ def spans_of(rows):
 
 def test_passage_query(spark):
     """Every run of 51 words that two texts share is covered in both, and nothing is reported but
-    such runs and passages that are similar to another."""
+    such runs, passages that are similar to another, and whole texts of fewer words that another
+    document has too."""
     docs = {r["doc_id"]: (r["text"] or "").lower().split() for r in queries.table(spark, FOLDER, "documents").collect()}
     windows = defaultdict(set)
     for i, words in docs.items():
@@ -512,8 +513,12 @@ def test_passage_query(spark):
     for w, s in sets.items():
         for x in s:
             by_shingle[x].add(w)
+    wholes = Counter(tuple(w) for w in docs.values())
     for i, places in covered.items():
         exact = {p for k in shared[i] for p in range(k, k + 51)}
+        if len(docs[i]) < 51:
+            assert wholes[tuple(docs[i])] > 1 and places == set(range(len(docs[i])))
+            continue
         for p in sorted(places - exact):
             mine = [tuple(docs[i][k : k + 51]) for k in range(max(0, p - 50), min(p, len(docs[i]) - 51) + 1)]
             others = {w: sets[w] for m in mine for x in sets[m] for w in by_shingle[x] if windows[w] != {i}}
@@ -660,3 +665,19 @@ def test_quotes_by_slow_linking(spark):
             assert (r["reply_to"], r["depth"], r["root"]) == (parent[turn], depth, top)
             links += parent[turn] is not None
     assert links > 50
+
+
+def test_short_copies_are_reported(spark):
+    """Equal texts of fewer words than a paragraph are copies too; columns may have any names."""
+    rows = [(1, "five words are too few"), (2, "five words are too few"), (3, "other words"), (4, ""), (5, " \n"), (6, " \n")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, _doc int, _md5 int, _spans int, n_spans int")
+    found = {(r["doc_id"], r["word"], r["n_words"], r["first_doc"], r["removed"]) for r in paragraphs.repeated_passages(df).collect()}
+    assert found == {(1, 0, 5, 1, False), (2, 0, 5, 1, True)}
+    left = {r["doc_id"]: (r["text"], r["n_spans"], r["_doc"], r["_md5"], r["_spans"]) for r in paragraphs.dedup(df).collect()}
+    assert left == {1: (rows[0][1], 0, 1, 2, 3), 2: ("", 1, 1, 2, 3), **{i: (t, 0, 1, 2, 3) for i, t in rows[2:]}}
+
+
+def test_lines_with_any_columns(spark):
+    df = spark.createDataFrame([(1, "a line of some words\nanother one", 1, 2, 3), (2, "a line of some words\nthird", 4, 5, 6)], "doc_id long, text string, _gone int, _doc int, _VERSION int")
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["_gone"], r["_doc"], r["_VERSION"]) for r in lines.dedup(df).collect()}
+    assert found == {1: (df.first()["text"], 2, 0, 1, 2, 3), 2: ("third", 2, 1, 4, 5, 6)}

@@ -50,3 +50,17 @@ def test_stages_on_odd_tables(spark):
         texts = sorted(r["text"] for r in now.collect())
         assert texts == (sorted([one, two, one + " again"]) if data else [])
         assert pipeline.STAGES[-1][1](spark, now, FOLDER).count() == len(texts)
+
+
+def test_columns_of_any_names(spark):
+    """A caller's columns keep their values, though the stages use their names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, n_lines int, n_removed int, _key int, _id int, _version int, _gone int, _doc int, component_id int, fp int, version int, own_score int"
+    one = "words of a text that nobody else has written down\nand a line that stands twice, here and below\nand a line that stands twice, here and below"
+    rows = [(k, f"{one} {'x' * k}", "en", "s", 9, 7.5, "p", 9, 8, 7, 6, 5, 4, 3, 2, 1, 0, -1) for k in (1, 2, 40)]
+    now = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        now = materialize(stage(spark, now, FOLDER), name)
+        assert now.columns == [c.split(" ")[0] for c in schema.split(", ")]
+    assert now.count() >= 1
+    for r in now.collect():
+        assert tuple(r)[5:] == rows[0][5:]
