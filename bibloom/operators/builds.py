@@ -50,9 +50,11 @@ def transform(bibs: DataFrame, maps: Sequence[FieldMap]) -> DataFrame:
 def missing_tags(bibs: DataFrame, maps: Sequence[FieldMap]) -> DataFrame:
     """(file_id, tag): source tags of the rules that the first record of a file lacks."""
     expected = sorted({m.source for m in sound(maps) if m.kind != "const"})
-    first = bibs.groupBy("file_id").agg(F.min_by(F.transform("fields", lambda f: f["tag"]), "record_index").alias("tags"))
-    lacking = F.array_except(F.array(*(F.lit(t) for t in expected)), F.col("tags"))
-    return first.select("file_id", F.explode(lacking).alias("tag"))
+    # a number for each file, not tags of records, which an aggregation would have to sort
+    first = bibs.groupBy("file_id").agg(F.min("record_index").alias("record_index"))
+    found = bibs.join(F.broadcast(first), ["file_id", "record_index"])
+    lacking = F.array_except(F.array(*(F.lit(t) for t in expected)), F.transform("fields", lambda f: f["tag"]))
+    return found.select("file_id", F.explode(lacking).alias("tag"))
 
 
 def merge(files: Sequence[DataFrame], join: ItemJoin | None = None) -> DataFrame:

@@ -27,3 +27,10 @@ def test_records_are_made_by_a_task_for_so_many(spark, many_parts):
     sizes = [r["count"] for r in found.groupBy(adapters.F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) == 3 and max(sizes) < 20_000
     assert sum(sizes) == 50_000 == found.select("record_index").distinct().count()
+
+
+def test_missing_tags_sorts_no_tags(spark):
+    rows = [("x", 5, None, [("245", " ", " ", None, [])]), ("x", 2, None, [("100", " ", " ", None, [])]), ("y", 9, None, [])]
+    found = builds.missing_tags(spark.createDataFrame(rows, BIB_SCHEMA), [FieldMap(t, "990", "a", "a") for t in ("100", "245")])
+    assert "SortAggregate" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("x", "245"), ("y", "100"), ("y", "245")]
