@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +20,10 @@ ITEM_COLUMNS = {
 }
 
 
-def _subfields(columns: Sequence[str], mapping: dict[str, str] | None, constants: dict[str, str] | None) -> Column:
-    """Trimmed values, empty ones too, then constants."""
+def _subfields(columns: Sequence[str], mapping: dict[str, str] | None, constants: dict[str, str] | None, cell: Callable[[str], Column] = F.col) -> Column:
+    """Trimmed values (``cell`` gives a column's), empty ones too, then constants."""
     pairs = [(c, mapping[c]) for c in columns if c in mapping] if mapping else [(c, ITEM_COLUMNS[c.lower()]) for c in columns if c.lower() in ITEM_COLUMNS]
-    subs = [subfield(code, strip(F.col(c).cast("string"))) for c, code in pairs]
+    subs = [subfield(code, strip(cell(c).cast("string"))) for c, code in pairs]
     subs += [subfield(code, F.lit(value)) for code, value in (constants or {}).items()]
     return F.array(*subs) if subs else F.array().cast("array<struct<code:string,value:string>>")
 
@@ -46,22 +46,37 @@ def attach_items(bibs: DataFrame, items: DataFrame, key: str, order: Sequence[st
     """Append to each record one 952 field for every item whose key is among the record's match
     values: values in their order, items of one value in the given order.
 
-    Only keys and item fields are shuffled to each other; a record's own fields join its
-    collected items by record index. Records without items stay as they are.
+    Keys and plain item columns are shuffled to each other, each column once; fields are made of
+    them after that, a record's own join its collected items by record index. Records without items
+    stay as they are.
     """
-    # the values in one step, which is compiled; the functions on arrays in the next, which aren't
-    own = once(_subfields([c for c in items.columns if c != key], mapping, constants))
-    built = items.select(once(strip(F.col(key).cast("string"))).alias("_key"), F.struct(*order).alias("_order"), own.alias("_item"))
-    built = built.withColumn("_item", once(_field(F.col("_item"))))
-    built = built.where((F.col("_key") != "") & F.col("_item").isNotNull())
+    columns = [c for c in items.columns if c != key]
+    used = [c for c in columns if c in mapping] if mapping else [c for c in columns if c.lower() in ITEM_COLUMNS]
+    # an item without any value makes no field
+    some = F.lit(any((constants or {}).values()))
+    for c in used:
+        some = some | F.coalesce(strip(F.col(c).cast("string")) != "", F.lit(False))
+    names = {c: f"c{k}" for k, c in enumerate(dict.fromkeys([*used, *order]))}
+    row = F.struct(*(F.col(c).alias(name) for c, name in names.items()))
+    rows = items.where(some).select(once(strip(F.col(key).cast("string"))).alias("_key"), row.alias("_row")).where(F.col("_key") != "")
     probed = bibs.where(extract.has_tag("001")) if need_001 else bibs
     keys = probed.select("file_id", "record_index", F.posexplode_outer(F.transform(extract.values(match_spec), strip)).alias("_nth", "_key"))
-    found = keys.join(built, "_key").groupBy("file_id", "record_index").agg(F.sort_array(F.collect_list(F.struct("_nth", "_order", "_item"))).alias("_found"))
+    found = keys.join(rows, "_key").groupBy("file_id", "record_index").agg(F.collect_list(F.struct("_nth", "_row")).alias("_found"))
+
+    def built(x: Column) -> Column:
+        cell = lambda c: x["_row"][names[c]]
+        own = _field(_subfields(used, mapping, constants, cell))
+        return F.struct(x["_nth"].alias("_nth"), F.struct(*(cell(c).alias(names[c]) for c in dict.fromkeys(order))).alias("_order"), own.alias("_item"))
+
     joined = bibs.join(found, ["file_id", "record_index"], "left")
+    joined = joined.withColumn("_found", once(F.sort_array(F.transform("_found", built))))
     more = F.coalesce(F.col("_found._item"), F.array().cast(FIELDS))
     return joined.withColumn("fields", F.concat("fields", more)).drop("_found")
 
 
+_IN_ORDER = "^" + "".join(f"{c}*" for c in "0123456789abcdefghijklmnopqrstuvwxyz") + "$"
+
+
 def sorted_fields(fields: Column | str = "fields") -> Column:
     """Fields by tag and each one's subfields digits first, then letters in any case, then
     others; both sorts keep the order of equals."""
@@ -76,7 +91,10 @@ def sorted_fields(fields: Column | str = "fields") -> Column:
             return plain.when(c.rlike(r"\p{L}"), 1).otherwise(2)  # patterns only for what isn't ASCII
 
         keyed = F.transform(f["subfields"], lambda s, i: F.struct(rank(s), F.lower(code(s)), i, s.alias("s")))
-        return f.withField("subfields", F.transform(F.sort_array(keyed), lambda k: k["s"]))
+        codes = f["subfields"]["code"]
+        listed = F.array_join(codes, "")  # one letter or digit each, in order: nothing to sort
+        ready = (F.octet_length(listed) == F.size(codes)) & listed.rlike(_IN_ORDER) & F.forall(codes, lambda c: F.octet_length(c) == 1)
+        return F.when(f["subfields"].isNull() | ready, f).otherwise(f.withField("subfields", F.transform(F.sort_array(keyed), lambda k: k["s"])))
 
     keyed = F.transform(fields, lambda f, i: F.struct(f["tag"].alias("tag"), i.alias("i"), by_code(f).alias("f")))
     return F.transform(F.sort_array(keyed), lambda k: k["f"])  # no two have one tag and place

@@ -34,3 +34,46 @@ def test_missing_tags_sorts_no_tags(spark):
     found = builds.missing_tags(spark.createDataFrame(rows, BIB_SCHEMA), [FieldMap(t, "990", "a", "a") for t in ("100", "245")])
     assert "SortAggregate" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [("x", "245"), ("y", "100"), ("y", "245")]
+
+
+def test_items_are_shuffled_as_plain_columns(spark):
+    """The collected items go by record once, without fields made of them."""
+    shuffled = [line for line in plan(items.attach_items(_bib(spark, 1), _items(spark), "key", ["b", "homebranch"])).splitlines() if "Exchange hashpartitioning" in line or "collect_list" in line]
+    assert shuffled and not any("_item" in line for line in shuffled)
+
+
+def _bib(spark, n):
+    rows = [("x", k, None, [("001", None, None, f"b{k}", None), ("035", " ", " ", None, [("a", "b9")])]) for k in range(n)]
+    return spark.createDataFrame(rows, BIB_SCHEMA)
+
+
+def _items(spark):
+    rows = [("b0", " S2 ", "2", 1), ("b0", "S1", "2", 2), ("b0", " S1", "1", 3), ("b0", " ", "0", 4), (" b0 ", None, "3", None), ("b1", "S9", "1", 1), (" ", "S8", "1", 1)]
+    return spark.createDataFrame(rows, "key string, HomeBranch string, b string, ccode int")
+
+
+def _shown(df):
+    return {r["record_index"]: [[f"{s['code']}{s['value']}" for s in f["subfields"]] for f in r["fields"] if f["tag"] == "952"] for r in df.collect()}
+
+
+def test_items_in_order_with_trimmed_values(spark):
+    """Order by plain values, also of a column that isn't mapped or is named in another case."""
+    found = _shown(items.attach_items(_bib(spark, 3), _items(spark), "key", ["b", "homebranch"]))
+    assert found == {0: [["84"], ["aS1", "83"], ["aS2", "81"], ["aS1", "82"]], 1: [["aS9", "81"]], 2: []}
+    found = _shown(items.attach_items(_bib(spark, 1), _items(spark), "key", ["b"], mapping={"HomeBranch": "a"}))
+    assert found == {0: [["aS1"], ["aS2"], ["aS1"]]}
+    found = _shown(items.attach_items(_bib(spark, 1), _items(spark), "key", ["b", "ccode"], mapping={"HomeBranch": "a"}, constants={"z": "x"}))
+    assert found == {0: [["zx"], ["aS1", "zx"], ["aS2", "zx"], ["aS1", "zx"], ["zx"]]}
+
+
+def test_fields_in_order_whatever_their_codes(spark):
+    """Codes that are in order already, and others: capitals, none, several letters, signs."""
+    some = ["19ab", "ba", "aBb", "a1", "aa", "", "é1", "_a", "z9"]
+    rows = [("x", k, None, [("500", " ", " ", None, [(c, str(i)) for i, c in enumerate(codes)])]) for k, codes in enumerate(some)]
+    rows.append(("x", 50, None, [("500", " ", " ", None, [(None, "0"), ("ab", "1"), ("", "2"), ("a", "3"), ("b", "4")])]))
+    rows.append(("x", 51, None, [("500", " ", " ", None, [("a", "0"), ("", "1"), ("b", "2")]), ("001", None, None, "n", None)]))
+    found = spark.createDataFrame(rows, BIB_SCHEMA).withColumn("fields", items.sorted_fields())
+    got = {r["record_index"]: ["".join(s["value"] for s in f["subfields"] or []) for f in r["fields"]] for r in found.collect()}
+    assert [got[k] for k in range(9)] == [["0123"], ["10"], ["012"], ["10"], ["01"], [""], ["10"], ["10"], ["10"]]
+    assert got[50] == ["31402"]
+    assert got[51] == ["", "021"]
