@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.functions import extract
+from bibloom.model import once
 from bibloom.operators import items, profile
 from bibloom.operators.fieldmaps import FieldMap, apply_maps
 
@@ -38,7 +39,7 @@ def sound(maps: Sequence[FieldMap]) -> list[FieldMap]:
 
 
 def sort_records(bibs: DataFrame) -> DataFrame:
-    return bibs.withColumn("fields", items.sorted_fields())
+    return bibs.withColumn("fields", once(items.sorted_fields()))
 
 
 def transform(bibs: DataFrame, maps: Sequence[FieldMap]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.functions.text import lookup, preset, substitute
-from bibloom.model import FIELDS, control, datafield, subfield
+from bibloom.model import FIELDS, control, datafield, once, subfield
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,8 @@ def apply_maps(bibs: DataFrame, maps: Sequence[FieldMap]) -> DataFrame:
     """Apply rules group by group of equal source and target, in order of first appearance, so
     that later ones see earlier results; then constants; then deletion of moved sources.
 
-    Each group is one projection, which keeps the expressions flat. Rules with problems raise.
+    Each group is one projection, made once: a filter on the result isn't moved below it, where it would
+    do the work of all groups again. Rules with problems raise.
     """
     bad = [p for m in maps for p in m.problems()]
     if bad:
@@ -104,12 +105,12 @@ def apply_maps(bibs: DataFrame, maps: Sequence[FieldMap]) -> DataFrame:
         if m.kind != "const":
             groups.setdefault((m.source, m.target), []).append(m)
     for group in groups.values():
-        bibs = bibs.withColumn("fields", _apply_group(F.col("fields"), group))
+        bibs = bibs.withColumn("fields", once(_apply_group(F.col("fields"), group)))
     for m in maps:
         if m.kind == "const":
-            bibs = bibs.withColumn("fields", set_value(F.col("fields"), m.target, m.target_code, str(m.argument)))
+            bibs = bibs.withColumn("fields", once(set_value(F.col("fields"), m.target, m.target_code, str(m.argument))))
     gone = sorted({m.source for m in maps if m.delete_source and m.source != m.target})
-    return bibs.withColumn("fields", F.filter("fields", lambda f: ~f["tag"].isin(*gone))) if gone else bibs
+    return bibs.withColumn("fields", once(F.filter("fields", lambda f: ~f["tag"].isin(*gone)))) if gone else bibs
 
 
 def map_statistics(bibs: DataFrame, maps: Sequence[FieldMap]) -> DataFrame:

@@ -71,10 +71,11 @@ def attach_items(bibs: DataFrame, items: DataFrame, key: str, order: Sequence[st
     joined = bibs.join(found, ["file_id", "record_index"], "left")
     joined = joined.withColumn("_found", once(F.sort_array(F.transform("_found", built))))
     more = F.coalesce(F.col("_found._item"), F.array().cast(FIELDS))
-    return joined.withColumn("fields", F.concat("fields", more)).drop("_found")
+    return joined.withColumn("fields", once(F.concat("fields", more))).drop("_found")
 
 
-_IN_ORDER = "^" + "".join(f"{c}*" for c in "0123456789abcdefghijklmnopqrstuvwxyz") + "$"
+#: Codes, joined by commas, that are a digit or small letter each: their plain order is the wanted one.
+_PLAIN_CODES = "^[0-9a-z](?:,[0-9a-z])*+$"
 
 
 def sorted_fields(fields: Column | str = "fields") -> Column:
@@ -90,11 +91,13 @@ def sorted_fields(fields: Column | str = "fields") -> Column:
             plain = F.when(c == "", 3).when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c < "\x80", 2)
             return plain.when(c.rlike(r"\p{L}"), 1).otherwise(2)  # patterns only for what isn't ASCII
 
-        keyed = F.transform(f["subfields"], lambda s, i: F.struct(rank(s), F.lower(code(s)), i, s.alias("s")))
-        codes = f["subfields"]["code"]
-        listed = F.array_join(codes, "")  # one letter or digit each, in order: nothing to sort
-        ready = (F.octet_length(listed) == F.size(codes)) & listed.rlike(_IN_ORDER) & F.forall(codes, lambda c: F.octet_length(c) == 1)
-        return F.when(f["subfields"].isNull() | ready, f).otherwise(f.withField("subfields", F.transform(F.sort_array(keyed), lambda k: k["s"])))
+        some = f["subfields"]
+        keyed = F.transform(some, lambda s, i: F.struct(rank(s), F.lower(code(s)), i, s.alias("s")))
+        short = F.transform(some, lambda s, i: F.struct(s["code"], i, s.alias("s")))
+        listed = F.array_join(some["code"], ",")  # without nulls, so the length tells of them
+        plain = listed.rlike(_PLAIN_CODES) & (F.octet_length(listed) == 2 * F.size(some) - 1)
+        inner = lambda k: k["s"]
+        return f.withField("subfields", F.when(plain, F.transform(F.sort_array(short), inner)).otherwise(F.transform(F.sort_array(keyed), inner)))
 
     keyed = F.transform(fields, lambda f, i: F.struct(f["tag"].alias("tag"), i.alias("i"), by_code(f).alias("f")))
     return F.transform(F.sort_array(keyed), lambda k: k["f"])  # no two have one tag and place

@@ -1,10 +1,11 @@
 """What grows with the tables: tasks, rows that are shuffled, aggregations that sort."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from bibloom.model import BIB_SCHEMA
 from bibloom.operators import builds, items
-from bibloom.operators.fieldmaps import FieldMap
+from bibloom.operators.fieldmaps import FieldMap, apply_maps
 from bibloom.plans import adapters
 
 
@@ -24,7 +25,7 @@ def plan(df) -> str:
 
 def test_records_are_made_by_a_task_for_so_many(spark, many_parts):
     found = adapters.bibs(spark, many_parts)
-    sizes = [r["count"] for r in found.groupBy(adapters.F.spark_partition_id().alias("p")).count().collect()]
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) == 3 and max(sizes) < 20_000
     assert sum(sizes) == 50_000 == found.select("record_index").distinct().count()
 
@@ -61,7 +62,7 @@ def test_items_in_order_with_trimmed_values(spark):
     found = _shown(items.attach_items(_bib(spark, 3), _items(spark), "key", ["b", "homebranch"]))
     assert found == {0: [["84"], ["aS1", "83"], ["aS2", "81"], ["aS1", "82"]], 1: [["aS9", "81"]], 2: []}
     found = _shown(items.attach_items(_bib(spark, 1), _items(spark), "key", ["b"], mapping={"HomeBranch": "a"}))
-    assert found == {0: [["aS1"], ["aS2"], ["aS1"]]}
+    assert found == {0: [["aS1"], ["aS1"], ["aS2"]]}  # ties by the fields
     found = _shown(items.attach_items(_bib(spark, 1), _items(spark), "key", ["b", "ccode"], mapping={"HomeBranch": "a"}, constants={"z": "x"}))
     assert found == {0: [["zx"], ["aS1", "zx"], ["aS2", "zx"], ["aS1", "zx"], ["zx"]]}
 
@@ -77,3 +78,18 @@ def test_fields_in_order_whatever_their_codes(spark):
     assert [got[k] for k in range(9)] == [["0123"], ["10"], ["012"], ["10"], ["01"], [""], ["10"], ["10"], ["10"]]
     assert got[50] == ["31402"]
     assert got[51] == ["", "021"]
+
+
+def test_fields_with_thousands_of_subfields_in_order(spark):
+    rows = [("x", 0, None, [("500", " ", " ", None, [("ba"[i % 2], str(i)) for i in range(6000)])])]
+    found = spark.createDataFrame(rows, BIB_SCHEMA).select(items.sorted_fields().alias("fields")).first()["fields"][0]["subfields"]
+    assert [s["value"] for s in found] == [str(i) for i in [*range(1, 6000, 2), *range(0, 6000, 2)]]
+
+
+def test_a_filter_does_not_make_the_maps_again(spark):
+    """A condition on mapped records is computed from them, not from all maps once more."""
+    made = apply_maps(_bib(spark, 2), [FieldMap("001", "949", None, "a", "regex", "s/b/MAPPED/"), FieldMap("", "949", None, "z", "const", "moved")])
+    found = made.where(F.exists("fields", lambda f: f["tag"] == "949")).select("fields")
+    filters = [line for line in plan(found).splitlines() if "Filter" in line and "exists" in line]
+    assert filters and not any("MAPPED" in line for line in filters)
+    assert [[s["value"] for s in r["fields"][-1]["subfields"]] for r in found.collect()] == [["MAPPED0", "moved"], ["MAPPED1", "moved"]]
