@@ -42,8 +42,9 @@ GRAM = 20
 #: Bytes that windows are told apart by, before each is.
 FINE = 35
 BATCHES = 3
-#: Rows of a side of a join that is broadcast, 16 to 40 bytes each; a larger side is shuffled.
-BROADCAST_ROWS = 4_000_000
+#: Rows of a side of a join that is broadcast; a larger side is shuffled. A row of two keys and a value takes up to 140
+#: bytes in the map that the driver builds, and a job may have two such sides.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are hashed at a time; longer texts are cut, which cuts cells but no window.
 CHUNK = 1 << 16
 
@@ -233,19 +234,22 @@ class Family:
             a.drop()
             b.drop()
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """Index a batch, (doc, text), and scan it: (doc, version, at, n, offsets), a written table,
         of the cells in its documents with windows that a document of a smaller id has, in the batch
         or a level; offsets tells which windows, null stands for all n. ``version`` is a hash of the
-        text. Documents of earlier batches aren't looked at again: batches come in order of ids."""
+        text. Documents of earlier batches aren't looked at again: batches come in order of ids. After
+        the ``last`` batch is scanned no level is read again; they go before windows are compared."""
         self._merge()
         with self._settings():
             own = Level(self.spark, self._index(batch), self.buckets, 1)
             known = self._scan(own)
+            self.levels.append(own)
+            if last:
+                self.drop()
             covered = self._windows(known)
             found = self._places(batch, known, covered)
         discard(known, covered)
-        self.levels.append(own)
         return found
 
     # ---- the scan
@@ -381,11 +385,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", le
         batch = family.documents
         batch = batch if low is None else batch.where(F.col("doc") > low)
         batch = batch if high is None else batch.where(F.col("doc") <= high)
-        parts.append(family.add(batch))
+        parts.append(family.add(batch, last=high is None))
         low = high
     with family._settings():
         found = materialize(spans(reduce(DataFrame.unionByName, parts), length), "spans")
-    family.drop()
     discard(*parts)
     return found
 

@@ -89,3 +89,18 @@ def test_levels(spark):
     assert "Exchange" not in merged.groupBy("key").count()._jdf.queryExecution().executedPlan().toString()
     family.drop()
     whole.drop()
+
+
+def test_sides_that_fill_the_driver_are_not_broadcast(spark):
+    """Two maps of 4 million rows of three numbers, up to 140 bytes each, are more than a driver of 750 MB holds."""
+    hinted = lambda rows: "ResolvedHint" in suffixes._bounded(spark.range(rows))._jdf.queryExecution().analyzed().toString()
+    assert hinted(1_000) and not hinted(2_000_000)
+
+
+def test_levels_go_before_the_last_windows_are_compared(spark, monkeypatch):
+    family = suffixes.Family(spark.createDataFrame([(k, f"text number {k % 7} " * 9 + str(k)) for k in range(20)], "doc_id long, text string"))
+    left, windows = [], family._windows
+    monkeypatch.setattr(family, "_windows", lambda known: left.append(len(family.levels)) or windows(known))
+    first = family.add(family.documents.where("doc < 10"))
+    found = family.add(family.documents.where("doc >= 10"), last=True)
+    assert left == [1, 0] and first.count() and found.count()
