@@ -14,7 +14,8 @@ import json
 import re
 import unicodedata
 from array import array
-from itertools import chain
+from bisect import bisect_right
+from itertools import accumulate, chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -114,7 +115,8 @@ class Vocabulary:
         self.first = [self.ids[s] for s in symbols]
         self.last = [self.ids.get(s + self.suffix, self.ids[s]) for s in symbols]
         self.words = Remembered(self._encode_word)
-        self.pieces = Remembered(self._prefix_counts, 2 * CACHE_WORDS)
+        self.pieces = Remembered(self._prefix_counts, CACHE_WORDS)
+        self.totals = Remembered(self._total, 2 * CACHE_WORDS)
         if not self.suffix:
             self._prepare_counts(symbols, parts)
 
@@ -233,6 +235,9 @@ class Vocabulary:
             ends.append(at)
         return tuple(count[e] for e in ends)
 
+    def _total(self, piece: str) -> int:
+        return self._prefix_counts(piece)[-1]
+
     def piece_totals(self, text: str) -> tuple[list[str], list[int]]:
         """Pieces of a whole text and the tokens of each."""
         pieces, totals = [], []
@@ -242,9 +247,8 @@ class Vocabulary:
                 totals.append(1)
             else:
                 found = self.cut(segment)
-                counts = self.pieces
                 pieces += found
-                totals += [counts[p][-1] for p in found]
+                totals += map(self.totals.__getitem__, found)
         return pieces, totals
 
     def prefix_counts(self, text: str | None) -> list[int]:
@@ -290,18 +294,24 @@ class Vocabulary:
         return sum(self.pieces[p][-1] for p in self.cut(text))
 
     def fitting(self, text: str, pieces: list[str], totals: list[int], limit: int) -> int:
-        """Code points of the longest prefix of at most ``limit`` tokens."""
+        """Code points of the longest prefix of at most ``limit`` tokens.
+
+        Prefixes are looked at from the last piece on that begins within the limit and that no
+        white space, special string or part of one stands before: those in it count as they would
+        from the start of the text, and what lies before is shorter.
+        """
         if sum(totals) <= limit:
             return len(text)
-        done = at = 0
-        for piece, total in zip(pieces, totals, strict=True):
-            # white space before the next word may make one piece less than here: look two on
-            if done > limit + 1:
-                break
-            done += total
-            at += len(piece)
-        counts = self.prefix_counts(text[:at])
-        return max(i for i, c in enumerate(counts) if c <= limit)
+        ends = list(accumulate(totals))
+        # white space before the next word may make one piece less than here: look two on
+        stop = bisect_right(ends, limit + 1) + 1
+        k = min(bisect_right(ends, limit), len(pieces) - 1)
+        while k and (pieces[k] in self.special or pieces[k - 1].isspace()):
+            k -= 1
+        low, low_done = sum(map(len, pieces[:k])), ends[k] - totals[k]
+        at = low + sum(map(len, pieces[k:stop]))
+        counts = self.prefix_counts(text[low:at])
+        return low + max(i for i, c in enumerate(counts) if c <= limit - low_done)
 
 
 _loaded: dict[str, Vocabulary] = {}

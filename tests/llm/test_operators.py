@@ -246,6 +246,21 @@ def test_counts_at_every_prefix(odd_texts):
             assert own.fitting(t, pieces, totals, limit) == max(i for i, c in enumerate(want) if c <= limit)
 
 
+def test_fitting_looks_at_the_end_only(monkeypatch):
+    """The prefix that fits, without a count of each prefix before; spaces and special strings at the limit."""
+    own = bpe.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    looked = []
+    plain = own.prefix_counts
+    for text in ("many words of a long text " * 400, "a  b\n\n c <|endoftext|><|endoftext|>  d don't " * 150):
+        pieces, totals = own.piece_totals(text)
+        counts = plain(text)
+        for limit in (700, 701, 702, 703, 704, 705, 706):
+            monkeypatch.setattr(own, "prefix_counts", lambda t: looked.append(len(t)) or plain(t))
+            assert own.fitting(text, pieces, totals, limit) == max(i for i, c in enumerate(counts) if c <= limit)
+            monkeypatch.undo()
+    assert len(looked) == 14 and max(looked) < 100
+
+
 def test_token_queries(spark):
     texts = {r["doc_id"]: r["text"] for r in queries.table(spark, FOLDER, "documents").collect()}
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
