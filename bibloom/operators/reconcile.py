@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibloom.functions.text import java_pattern, strip
-from bibloom.model import FIELDS, SUBFIELD
+from bibloom.model import FIELDS, SUBFIELD, once
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,13 @@ def apply_rules(bibs: DataFrame, rules: Sequence[Rule], tag: str = "952") -> Dat
     """Item fields with their values reconciled: each subfield by the last rule that names its
     code and trimmed value. Rules are data, not expressions, but for the cases of splits."""
     table, n, splits = _rule_table(rules)
+    codes = sorted({r.code for r in rules})
 
     def rule(s: Column) -> Column:
         value = strip(s["value"])
         place = F.pmod(F.crc32(F.concat(s["code"], F.lit(_SEPARATOR), value)), F.lit(n)).cast("int")
-        return F.get(F.filter(F.get(table, place), lambda e: (e["code"] == s["code"]) & (e["value"] == value)), F.lit(0))
+        found = F.get(F.filter(F.get(table, place), lambda e: (e["code"] == s["code"]) & (e["value"] == value)), F.lit(0))
+        return F.when(s["code"].isin(*codes), found)  # no checksums of subfields that no rule is about
 
     def new_value(s: Column, r: Column, f: Column) -> Column:
         out = F.when(r["operation"] == "set", r["target"])
@@ -109,7 +111,7 @@ def apply_rules(bibs: DataFrame, rules: Sequence[Rule], tag: str = "952") -> Dat
         return F.when(x["told"].isNull() | x["f"]["subfields"].isNull(), x["f"]).otherwise(x["f"].withField("subfields", subfields))
 
     gone = lambda x: F.exists(F.coalesce(x["told"], F.array()), lambda y: y["r"]["operation"].eqNullSafe(F.lit("delete field")))
-    return bibs.withColumn("fields", F.transform(F.filter(F.transform("fields", told), lambda x: ~gone(x)), changed).cast(FIELDS))
+    return bibs.withColumn("fields", once(F.transform(F.filter(F.transform("fields", told), lambda x: ~gone(x)), changed).cast(FIELDS)))
 
 
 def coverage(values: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:

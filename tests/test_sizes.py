@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibloom.model import BIB_SCHEMA
-from bibloom.operators import builds, items
+from bibloom.operators import builds, items, profile, reconcile
 from bibloom.operators.fieldmaps import FieldMap, apply_maps
 from bibloom.plans import adapters
 
@@ -93,3 +93,15 @@ def test_a_filter_does_not_make_the_maps_again(spark):
     filters = [line for line in plan(found).splitlines() if "Filter" in line and "exists" in line]
     assert filters and not any("MAPPED" in line for line in filters)
     assert [[s["value"] for s in r["fields"][-1]["subfields"]] for r in found.collect()] == [["MAPPED0", "moved"], ["MAPPED1", "moved"]]
+
+
+def test_rules_are_applied_once_and_looked_up_by_their_codes(spark):
+    """A condition on reconciled records doesn't apply the rules again below; subfields that no rule is about have no checksum."""
+    fields = [("952", " ", " ", None, [("y", "A"), ("c", "F"), ("p", "1"), (None, "x")]), ("952", " ", " ", None, None)]
+    df = spark.createDataFrame([("x", 0, None, fields)], BIB_SCHEMA)
+    rules = [reconcile.Rule("y", ("A",), "rename", "BK"), reconcile.Rule("c", ("F",), "delete")]
+    some = reconcile.apply_rules(df, rules).where(F.exists("fields", lambda f: f["tag"] == "952"))
+    found = profile.vocabulary_scan(some, {"itype": "y", "loc": "c", "barcode": "p"})
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("crc32") == 1 and "code IN (c,y)" in optimized
+    assert sorted(map(tuple, found.collect())) == [("barcode", "1", 1), ("itype", "BK", 1)]
