@@ -104,3 +104,20 @@ def test_levels_go_before_the_last_windows_are_compared(spark, monkeypatch):
     first = family.add(family.documents.where("doc < 10"))
     found = family.add(family.documents.where("doc >= 10"), last=True)
     assert left == [1, 0] and first.count() and found.count()
+
+
+def test_texts_stay_where_they_are(spark):
+    """Texts are shuffled and broadcast at no size, a level has a row for each range of keys, and what is found by chunk
+    is right where a chunk has few texts and an id stands in several chunks."""
+    docs = [(k, f"a passage that many of these documents have in common, number {k % 5} of all " * 3 + f"and words of {k} " * 4) for k in range(40)]
+    docs += [(7, docs[3][1][10:90]), (None, docs[0][1]), (50, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = suffixes.dedup(df)
+    assert in_order(got.collect()) == in_order(brute(docs))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Bucketed: true" in plan
+    assert all("text" not in line for line in plan.splitlines() if "Exchange" in line), plan
+    family = suffixes.Family(df)
+    family.add(family.documents)
+    assert family.levels[0].packed().count() <= family.ranges < family.levels[0].rows().count()
+    family.drop()
